@@ -20,7 +20,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
 SEED = 42
-# Most trees a grid may ask for at the depth MLlib allows.
+# Fixed value: the deepest tree MLlib grows.
 MAX_DEPTH = 30
 
 
@@ -156,8 +156,9 @@ def forest_regression(features, rows, max_points=10) -> Candidate:
 
 
 def gradient_boosting(features, rows, max_points=10) -> Candidate:
-    model = GBTRegressor(lossType="absolute", stepSize=0.1, maxIter=100, seed=SEED)
-    return _candidate(features, rows, True, model, {}, max_points)
+    model = GBTRegressor(lossType="absolute", seed=SEED)
+    choices = {model.stepSize: [0.1], model.maxIter: [100]}
+    return _candidate(features, rows, True, model, choices, max_points)
 
 
 def boosted_regression(features, rows, max_points=10) -> Candidate:

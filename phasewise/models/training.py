@@ -63,8 +63,12 @@ def model_input(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True)
 
 
 def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
-        max_points: int | None = 10, parallelism: int = 4) -> Fitted:
-    """Search the grid by cross-validation and refit the best point on all training rows."""
+        max_points: int | None = 10, parallelism: int = 4,
+        fixed: dict | None = None) -> Fitted:
+    """Search the grid by cross-validation and refit the best point on all training rows.
+
+    ``fixed`` maps names of searched parameters to values to use instead of the search.
+    """
     build = model_builder(task, model_type)
     classes = TASKS[task]
     train = data.filter("split = 'train'")
@@ -73,13 +77,19 @@ def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
     rows = train.count()
     arguments = {"classes": classes} if classes else {}
     candidate = build(features, rows, max_points=max_points, **arguments)
+    fixed = fixed or {}
+    grid = []
+    for point in candidate.grid:
+        point = {param: fixed.get(param.name, value) for param, value in point.items()}
+        if point not in grid:
+            grid.append(point)
     if classes:
         evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     else:
         evaluator = RegressionEvaluator(metricName="r2")
     search = CrossValidator(
         estimator=candidate.pipeline,
-        estimatorParamMaps=candidate.grid,
+        estimatorParamMaps=grid,
         evaluator=evaluator,
         numFolds=folds,
         foldCol="fold",
@@ -87,7 +97,7 @@ def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
     )
     found = search.fit(train)
     best = max(range(len(found.avgMetrics)), key=found.avgMetrics.__getitem__)
-    chosen = {param.name: value for param, value in candidate.grid[best].items()}
+    chosen = {param.name: value for param, value in grid[best].items()}
     return Fitted(
         task, model_type, found.bestModel, float(found.avgMetrics[best]), chosen, features,
         train, test,

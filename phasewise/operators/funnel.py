@@ -64,12 +64,14 @@ def _time_parts() -> list[Column]:
 
 def _times() -> list[Column]:
     """The six dates from the time parts; all null if any is missing."""
+    def first_after(prefix: str) -> Column:
+        start = F.col(f"{prefix}_start")
+        return F.array_min(F.filter(f"{prefix}_next", lambda day: day > start))
+
     found = {}
     for prefix in TIMED_PHASES:
-        first = F.col(f"{prefix}_start")
-        later = F.filter(f"{prefix}_next", lambda day, first=first: day > first)
-        found[f"{prefix}_start"] = first
-        found[f"{prefix}_first_end"] = F.array_min(later)
+        found[f"{prefix}_start"] = F.col(f"{prefix}_start")
+        found[f"{prefix}_first_end"] = first_after(prefix)
         found[f"{prefix}_last_end"] = F.col(f"{prefix}_last_end")
     complete = F.lit(True)
     for value in found.values():

@@ -152,11 +152,11 @@ def with_folds(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True,
     cuts = _hash_cuts(rows, ends.filter("rank > 0").select("grp", "rank", "position"))
     cuts = cuts.groupBy("grp").agg(F.collect_list("digest").alias("cuts"))
     by_group = cuts.agg(F.map_from_entries(F.collect_list(F.struct("grp", "cuts")))).scalar()
-    passed = F.filter(
-        F.coalesce(F.try_element_at(by_group, group), F.array().cast("array<string>")),
-        lambda cut: cut < digest,
-    )
-    return matrix.withColumn("fold", F.array_size(passed).cast("int"))
+    own = F.try_element_at(by_group, group)
+    fold = F.lit(0)
+    for position in range(folds - 1):
+        fold = fold + F.coalesce(F.get(own, position) < digest, F.lit(False)).cast("int")
+    return matrix.withColumn("fold", fold)
 
 
 def label_counts(matrix: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def exploded_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.feature_table(
-        fx.trials(spark, sf_dir), fx.STATUSES, fx.DESIGNS, cutoff=fx.CUTOFF
+        fx.trials(spark, sf_dir), fx.STATUSES, fx.DESIGNS, cutoff=fx.CUTOFF, staged=True
     )
 
 
@@ -546,7 +546,7 @@ def class_weights(spark, sf_dir):
 def scaled_features(spark, sf_dir):
     names = ["Phase I subject mean", "Phase I center count", ORGANISATION_COUNT]
     matrix = pass_matrix_of(spark, sf_dir).select("drug", *[f"`{n}`" for n in names], "label")
-    return tidy(prepare.scaled(matrix))
+    return tidy(prepare.scaled(materialise(matrix)))
 
 
 # Scores

@@ -51,12 +51,19 @@ def mean_centers(exploded: DataFrame) -> DataFrame:
 
 def filled_center_mean(overall: Column) -> Column:
     """Mean centre count of a group, rows without a count entering with the overall mean."""
-    known = F.count("number_of_centers")
-    unknown = F.count(F.lit(1)) - known
-    total = F.coalesce(F.sum("number_of_centers"), F.lit(0))
+    return filled_mean(
+        F.coalesce(F.sum("number_of_centers"), F.lit(0)),
+        F.count("number_of_centers"),
+        F.count(F.lit(1)),
+        overall,
+    )
+
+
+def filled_mean(total: Column, known: Column, rows: Column, overall: Column) -> Column:
+    """A mean from its parts, unknown rows entering with the overall mean."""
+    unknown = rows - known
     # A group without gaps must not turn null when there is no overall mean.
-    filling = F.when(unknown > 0, unknown * overall).otherwise(0.0)
-    return (total + filling) / F.count(F.lit(1))
+    return (total + F.when(unknown > 0, unknown * overall).otherwise(0.0)) / rows
 
 
 def subject_means(exploded: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phasewise.functions.dates import date_text, parse_date
 from phasewise.operators.expand import drug_token_counts
 from phasewise.operators.match import invalid_names, match_drugs
+from phasewise.session import materialise
 
 # Flag -> the two phases a drug must both have trials in.
 SUCCESS_PAIRS = {
@@ -90,14 +91,22 @@ def phase_times(rows: DataFrame) -> DataFrame:
 def drug_funnel(trials: DataFrame, regex: bool = True) -> DataFrame:
     """Per drug: number of trials, success flags and phase times.
 
-    A drug owns every trial whose drug cell mentions its name. Trials are reduced to
-    distinct (drug cell, phase, start) rows before they meet the matches, so a cell that
-    occurs in very many trials is joined once per day. Drugs whose name is no valid
-    pattern are left out; ``funnel_exceptions`` lists them.
+    A drug owns every trial whose drug cell mentions its name. The trials are read once,
+    down to one row per drug cell, phase and start with a count; names, texts and dates all
+    come from that table in the shared folder. Drugs whose name is no valid pattern are
+    left out; ``funnel_exceptions`` lists them.
     """
-    counts = drug_token_counts(trials)
-    cells = trials.select("primary_drugs", "phase_of_trial", "trial_start").distinct()
-    pairs = match_drugs(counts.select("drug"), cells.select("primary_drugs").distinct(), regex)
+    cells = materialise(
+        trials.groupBy("primary_drugs", "phase_of_trial", "trial_start").agg(
+            F.count(F.lit(1)).alias("trials")
+        )
+    )
+    names = F.explode(F.split("primary_drugs", ", ")).alias("drug")
+    counts = cells.select(names, "trials").groupBy("drug").agg(
+        F.sum("trials").alias("num_of_trials")
+    )
+    texts = cells.select("primary_drugs").distinct()
+    pairs = match_drugs(counts.select("drug"), texts, regex)
     # Down to a row per drug, phase and day before anything is gathered per drug.
     rows = pairs.join(cells, "primary_drugs").select(
         "drug", "phase_of_trial", "trial_start"

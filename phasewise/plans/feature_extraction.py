@@ -32,7 +32,7 @@ def joined_feature_table(exploded: DataFrame, statuses: list[str] | None = None,
 
 def feature_table(trials: DataFrame, statuses: list[str] | None = None,
                   designs: list[str] | None = None, phases: list[str] = PHASES,
-                  cutoff: str = CUTOFF_DATE) -> DataFrame:
+                  cutoff: str = CUTOFF_DATE, staged: bool = False) -> DataFrame:
     """The same table as ``joined_feature_table`` without joining anything.
 
     Organisations and designs are worked out once per trial, before it is repeated per
@@ -40,6 +40,10 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
     large share of the trials costs no more than any other; the second one, by drug,
     sees one row per drug and phase. Given the statuses and designs, planning reads no
     data; without them, each list takes one distinct query.
+
+    The overall mean centre count needs all trials before any group is finished. Staged
+    means that the groups are written to the shared folder first, so that the trials are
+    read once; otherwise the mean is a query of its own over four columns.
     """
     clean = load_clean(trials, cutoff)
     prepared = clean.select(
@@ -59,16 +63,13 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
             prepared.select(F.explode("designs").alias("design")), "design"
         )
     rows = explode_drugs(prepared)
-    overall = explode_drugs(
-        clean.select("primary_drugs", "trial_centre_details")
-    )
-    overall = ops.mean_centers(overall).scalar()
     positive = F.when(F.col("time_diff") > 0, F.col("time_diff"))
     by_drug_and_phase = rows.groupBy("drug", "phase").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("planned_subject_number").alias("subject_mean"),
         measures.whole_days(F.avg(positive)).alias("trial_length"),
-        ops.filled_center_mean(overall).alias("center_count"),
+        F.coalesce(F.sum("number_of_centers"), F.lit(0)).alias("centers"),
+        F.count("number_of_centers").alias("centers_known"),
         F.max("organisations").alias("organisations"),
         F.count("status").alias("status_rows"),
         *[F.count_if(F.col("status") == s).alias(f"status {s}") for s in statuses],
@@ -80,6 +81,17 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
         ],
     )
 
+    if staged:
+        by_drug_and_phase = materialise(by_drug_and_phase)
+        overall = by_drug_and_phase.agg(F.try_divide(F.sum("centers"), F.sum("centers_known")))
+    else:
+        overall = ops.mean_centers(
+            explode_drugs(clean.select("primary_drugs", "trial_centre_details"))
+        )
+    by_drug_and_phase = by_drug_and_phase.withColumn(
+        "center_count",
+        ops.filled_mean(F.col("centers"), F.col("centers_known"), F.col("n"), overall.scalar()),
+    )
     # Generated columns are written as SQL text: one call each instead of one per operand.
     counted = [f"status {s}" for s in statuses] + [f"design {d}" for d in designs]
     per_phase = [
@@ -117,6 +129,8 @@ def run(trials: DataFrame, csv_path: str, phase_path: str,
         statuses: list[str] | None = None, designs: list[str] | None = None,
         cutoff: str = CUTOFF_DATE) -> None:
     """Extract the features once and store them, wide as CSV and by phase as Parquet."""
-    table = materialise(feature_table(trials, statuses, designs, cutoff=cutoff))
+    table = materialise(
+        feature_table(trials, statuses, designs, cutoff=cutoff, staged=True)
+    )
     write_features(table, csv_path)
     write_phase_tables(table, phase_path)

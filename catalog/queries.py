@@ -334,18 +334,23 @@ def phase_store_round_trip(spark, sf_dir):
 # Funnel
 
 
+def names_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Drug names and drug cells, stored, as matching reads both several times."""
+    texts = materialise(clean_trials(spark, sf_dir).select("primary_drugs").distinct())
+    names = expand.drug_token_counts(texts).select("drug")
+    return materialise(names), texts
+
+
 @query
 def drug_match_join(spark, sf_dir):
-    trials = clean_trials(spark, sf_dir)
-    names = expand.drug_token_counts(trials).select("drug")
-    return match.match_drugs(names, trials.select("primary_drugs").distinct())
+    names, texts = names_and_texts(spark, sf_dir)
+    return match.match_drugs(names, texts)
 
 
 @query
 def drug_match_literal(spark, sf_dir):
-    trials = clean_trials(spark, sf_dir)
-    names = expand.drug_token_counts(trials).select("drug")
-    return match.match_drugs(names, trials.select("primary_drugs").distinct(), regex=False)
+    names, texts = names_and_texts(spark, sf_dir)
+    return match.match_drugs(names, texts, regex=False)
 
 
 @query

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRAM = 3
-# Copies of a pattern that must meet every text; spreads the texts over as many groups.
-SPREAD = 64
 
 _SPECIAL = r"[\\.^$*+?{}\[\]|()]"
 # Groups that may be skipped or that only look around: their letters are not compulsory.
@@ -103,7 +101,8 @@ def invalid_names(names: DataFrame) -> DataFrame:
 def match_drugs(names: DataFrame, texts: DataFrame, regex: bool = True) -> DataFrame:
     """Pairs of ``drug`` and ``primary_drugs`` where the text mentions the drug.
 
-    Both inputs hold distinct, non-null strings. Names without special characters stay in
+    Both inputs hold distinct, non-null strings and are read several times, so they should
+    be stored tables. Names without special characters stay in
     the JVM; only real patterns are tested in Python, on their candidates. Invalid
     patterns match nothing; ``invalid_names`` lists them.
     """
@@ -150,11 +149,11 @@ def _candidates(runs: DataFrame, texts: DataFrame) -> DataFrame:
 def _with_every_text(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates for patterns that any text may match, such as ``.*`` or ``(ab)?``.
 
-    Each pattern goes to every group of texts; groups are joined apart from each other, so
-    neither side has to fit into the memory of a task.
+    Each pattern goes to every group of texts, one group per shuffle partition; groups are
+    joined apart from each other, so neither side has to fit into the memory of a task.
     """
-    copies = names.select("drug", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    parts = texts.select(
-        "primary_drugs", F.pmod(F.xxhash64("primary_drugs"), F.lit(SPREAD)).cast("int").alias("part")
-    )
+    groups = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = names.select("drug", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("primary_drugs"), F.lit(groups)).cast("int")
+    parts = texts.select("primary_drugs", part.alias("part"))
     return parts.join(copies, "part").select("drug", "primary_drugs")

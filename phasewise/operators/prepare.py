@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -86,29 +87,26 @@ def feature_names(matrix: DataFrame) -> list[str]:
     return [c for c in matrix.columns if c not in {"drug", "label", "split", "fold", "weight"}]
 
 
-def _hash_cuts(rows: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The digests at given ranks of each group's hash order, without sorting any group.
+def _hash_cuts(rows: DataFrame, ranks_of: Callable[[Column], Column]) -> DataFrame:
+    """The digests at wanted ranks of each group's hash order, without sorting any group.
 
-    ``rows`` has grp and digest, ``ranks`` has grp, rank and position. Digests are counted
-    by leading bits first, which bounds the counts by groups times buckets; only the
-    buckets that hold a wanted rank are then ranked row by row.
+    ``rows`` has grp and digest; ``ranks_of`` turns a group's size into an array of ranks.
+    Digests are counted by leading bits first, which bounds the counts by groups times
+    buckets; only the buckets that hold a wanted rank are then ranked row by row.
     """
-    bucket = hash_bucket(F.col("digest"), BUCKET_BITS)
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", hash_bucket(F.col("digest"), BUCKET_BITS))
     counts = rows.groupBy("grp", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    wanted = counts.join(ranks, "grp").filter(
-        (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n"))
-    )
-    buckets = wanted.select("grp", "bucket", "before").distinct()
-    in_bucket = W.partitionBy("grp", "bucket").orderBy("digest")
-    ranked = rows.join(buckets, ["grp", "bucket"]).withColumn(
-        "rank", F.col("before") + F.row_number().over(in_bucket)
-    )
-    return ranked.join(wanted.select("grp", "rank", "position"), ["grp", "rank"]).select(
-        "grp", "position", "digest"
+    group = W.partitionBy("grp")
+    upto = F.sum("n").over(group.orderBy("bucket"))
+    counts = counts.select(
+        "grp", "bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"),
+        ranks_of(F.sum("n").over(group)).alias("ranks"),
     )
+    inside = F.filter("ranks", lambda r: (r > F.col("before")) & (r <= F.col("upto")))
+    buckets = counts.withColumn("ranks", inside).filter(F.array_size("ranks") > 0)
+    rank = F.col("before") + F.row_number().over(W.partitionBy("grp", "bucket").orderBy("digest"))
+    ranked = rows.join(buckets, ["grp", "bucket"]).withColumn("rank", rank)
+    return ranked.filter(F.array_contains("ranks", F.col("rank"))).select("grp", "digest")
 
 
 def with_split(matrix: DataFrame, test_share: float = TEST_SHARE, seed: int = SPLIT_SEED,
@@ -122,10 +120,9 @@ def with_split(matrix: DataFrame, test_share: float = TEST_SHARE, seed: int = SP
     digest = seeded_hash(F.col("drug"), seed)
     if exact:
         rows = matrix.select(F.lit(0).alias("grp"), digest.alias("digest"))
-        ranks = rows.groupBy("grp").agg(
-            F.ceil(F.lit(float(test_share)) * F.count(F.lit(1))).cast("bigint").alias("rank")
-        ).withColumn("position", F.lit(0))
-        cut = _hash_cuts(rows, ranks).agg(F.max("digest")).scalar()
+        share = F.lit(float(test_share))
+        cuts = _hash_cuts(rows, lambda n: F.array(F.ceil(share * n).cast("bigint")))
+        cut = cuts.agg(F.max("digest")).scalar()
         is_test = digest <= cut
     else:
         is_test = hash_bucket(digest, 32) < int(test_share * 2**32)
@@ -141,16 +138,15 @@ def with_folds(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True,
     digest = seeded_hash(F.col("drug"), seed)
     group = F.col("label").cast("string") if stratified else F.lit("all")
     rows = matrix.select(group.alias("grp"), digest.alias("digest"))
-    n, k = F.col("n"), F.lit(folds)
-    # Fold i ends at rank i * (n div k) + min(i, n mod k); the last fold needs no end.
-    ends = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select(
-        "grp", "n", F.explode(F.sequence(F.lit(1), F.lit(folds - 1))).alias("position")
-    ).withColumn(
-        "rank",
-        F.col("position") * F.floor(n / k) + F.least(F.col("position").cast("bigint"), n % k),
-    )
-    cuts = _hash_cuts(rows, ends.filter("rank > 0").select("grp", "rank", "position"))
-    cuts = cuts.groupBy("grp").agg(F.collect_list("digest").alias("cuts"))
+
+    def ends(n: Column) -> Column:
+        """Fold i ends at rank i * (n div k) + min(i, n mod k); the last needs no end."""
+        size, longer = F.floor(n / folds).cast("bigint"), n % folds
+        return F.array(
+            *[size * i + F.least(F.lit(i).cast("bigint"), longer) for i in range(1, folds)]
+        )
+
+    cuts = _hash_cuts(rows, ends).groupBy("grp").agg(F.collect_list("digest").alias("cuts"))
     by_group = cuts.agg(F.map_from_entries(F.collect_list(F.struct("grp", "cuts")))).scalar()
     own = F.try_element_at(by_group, group)
     fold = F.lit(0)

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 3
+# Longest letter sequence used as index; longer ones are rarer but repeat more text.
+GRAM = 8
 
 _SPECIAL = r"[\\.^$*+?{}\[\]|()]"
 # Groups that may be skipped or that only look around: their letters are not compulsory.
@@ -129,9 +130,18 @@ def _candidates(runs: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts that hold the rarest gram of a name's run."""
     size = F.least(F.lit(GRAM), F.length("run"))
     run_grams = runs.select("drug", "run", F.explode(_grams(F.col("run"), size)).alias("gram"))
-    # Texts are indexed by grams of every size, as short names only have short ones.
+    # A run shorter than a full gram is its own gram: texts are indexed by those sizes, too,
+    # but only by sizes that occur.
+    sizes = runs.agg(F.collect_set(size)).scalar()
     lower = F.lower("primary_drugs")
-    all_grams = F.concat(*[_grams(lower, F.lit(n)) for n in range(1, GRAM + 1)])
+    all_grams = F.concat(
+        *[
+            F.when(F.array_contains(sizes, n), _grams(lower, F.lit(n))).otherwise(
+                F.array().cast("array<string>")
+            )
+            for n in range(1, GRAM + 1)
+        ]
+    )
     text_grams = texts.select("primary_drugs", F.explode(all_grams).alias("gram"))
     # Grams no name uses are dropped before anything is counted or shuffled by gram.
     used = run_grams.select("gram").distinct()

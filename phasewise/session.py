@@ -21,6 +21,8 @@ def build_session(app_name: str = "phasewise", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Checkpoint files go when nothing refers to their table any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")

@@ -8,11 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from phasewise.__main__ import main
 from phasewise.models import training
 from phasewise.models.estimators import CLASSIFIERS, REGRESSORS, sample_grid
 from phasewise.operators import metrics, prepare
 from phasewise.plans import sweeps
 from phasewise.sources import sinks
+from tests.frames import trial, trials
 
 
 def matrix(spark, labels):
@@ -207,3 +209,20 @@ def test_sweep_logs_every_model(spark, tmp_path):
         "gaussian_naive_bayes", "multinomial_naive_bayes"}
     with pytest.raises(ValueError):
         sweeps.pass_sweep(spark, store, ("ols",))
+
+
+def test_command_line_extracts_and_fits(spark, tmp_path):
+    rows = [
+        trial(f"drug {i % 40}", phase, start=str(2001 + i % 7), end="01 Jan 2012",
+              planned_subject_number=float(i % 5), trial_status="Completed", trial_design="open")
+        for i in range(120)
+        for phase in ("Phase I", "Phase II", "Phase III")
+        if (i + len(phase)) % 3
+    ]
+    source, wide, phases, scores = (str(tmp_path / n) for n in ("trials", "wide", "phases", "scores"))
+    trials(spark, rows).write.parquet(source)
+    main(["extract", source, wide, phases])
+    main(["fit", phases, scores, "--models", "gaussian_naive_bayes", "--folds", "2", "--task", "time"])
+    logged = spark.read.parquet(scores)
+    assert {r[0] for r in logged.select("phase").distinct().collect()} == {
+        "Phase I", "Phase II", "Phase III"}

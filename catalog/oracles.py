@@ -441,6 +441,11 @@ def all_oracles() -> dict[str, str]:
           select label l, count(*)::double / sum(count(*)) over () s from split where split = 'train' group by label) q on t.label = q.l where t.split = 'test'"""),
         "rmse": _sql("select round(sqrt(avg(pow(label - prediction, 2))), 6) rmse from predictions", parts=_TERNARY),
     }
+    oracles["read_trials_csv"] = oracles["trial_columns"]
+    oracles["read_drugs_csv"] = _sql(
+        "select drug_id::varchar drug_id, drug_name, highest_development_phase from drugs",
+        parts=_DRUGS,
+    )
     oracles["csv_round_trip"] = _sql(
         "select drug, " + _columns(_WIDE_NAMES) + ", " + _columns(_FLAG_NAMES, False) + ", "
         + ", ".join(f'"{n}"::double "{n}"' for n in _STATUS_NAMES + [ORGANISATION_COUNT] + _DESIGN_NAMES)

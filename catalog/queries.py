@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from phasewise.constants import MODEL_PHASES, ORGANISATION_COUNT, PHASES, SUBJECT_MEAN
+from phasewise.constants import MODEL_PHASES, ORGANISATION_COUNT, SUBJECT_MEAN
 from phasewise.functions import dates, text
 from phasewise.models import training
 from phasewise.operators import clean, expand, explore, features, funnel, match, metrics, prepare
@@ -17,6 +17,7 @@ from phasewise.plans import feature_extraction as extraction
 from phasewise.plans import sweeps
 from phasewise.session import fresh_path, materialise
 from phasewise.sources import readers, sinks
+from phasewise.sources.schemas import CSV_OPTIONS, DRUGS
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -105,6 +106,23 @@ def trial_columns(spark, sf_dir):
     return clean.trial_columns(fx.source_trials(spark, sf_dir))
 
 
+@query
+def read_trials_csv(spark, sf_dir):
+    path = fresh_path(spark, "trials-csv")
+    fx.source_trials(spark, sf_dir).write.options(**CSV_OPTIONS).csv(path)
+    return readers.read_trials(spark, path, "csv")
+
+
+@query
+def read_drugs_csv(spark, sf_dir):
+    path = fresh_path(spark, "drugs-csv")
+    drugs = readers.conform(fx.drugs(spark, sf_dir), DRUGS)
+    drugs.write.options(**CSV_OPTIONS).csv(path)
+    return readers.read_drugs(spark, path, "csv").select(
+        "drug_id", "drug_name", "highest_development_phase"
+    )
+
+
 @query
 def phase_filter(spark, sf_dir):
     trials = fx.trials(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phasewise.sources.schemas import DRUGS, TRIALS, snake_case
+from phasewise.sources.schemas import CSV_OPTIONS, DRUGS, TRIALS, snake_case
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -28,26 +28,26 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(columns)
 
 
-def _read(spark: SparkSession, path: str, source: str, schema: T.StructType) -> DataFrame:
-    if source == "csv":
-        # All text, named by the header line: no pass over the data to infer types.
-        raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    else:
-        raw = spark.read.format(source).load(path)
+def _read(spark: SparkSession, path: str, source: str, schema: T.StructType,
+          options: dict) -> DataFrame:
+    # CSV is all text, named by the header line: no pass over the data to infer types.
+    defaults = CSV_OPTIONS if source == "csv" else {}
+    raw = spark.read.format(source).options(**{**defaults, **options}).load(path)
     return conform(raw, schema)
 
 
-def read_trials(spark: SparkSession, path: str, source: str = "parquet") -> DataFrame:
-    return _read(spark, path, source, TRIALS)
+def read_trials(spark: SparkSession, path: str, source: str = "parquet", **options) -> DataFrame:
+    """The trials; options go to the source, such as ``multiLine`` for cells with line breaks."""
+    return _read(spark, path, source, TRIALS, options)
 
 
-def read_drugs(spark: SparkSession, path: str, source: str = "parquet") -> DataFrame:
-    return _read(spark, path, source, DRUGS)
+def read_drugs(spark: SparkSession, path: str, source: str = "parquet", **options) -> DataFrame:
+    return _read(spark, path, source, DRUGS, options)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """The wide feature table as written to CSV, numbers and flags typed again."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
 
     def typed(name: str):
         column = F.col(f"`{name}`")

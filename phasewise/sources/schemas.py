@@ -70,6 +70,15 @@ DRUG_HEADERS = [
 ]
 
 
+# Cells go through CSV unchanged: quotes doubled, blanks at the ends kept.
+CSV_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def snake_case(header: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", header.lower()).strip("_")
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from phasewise.constants import MODEL_PHASES
 from phasewise.operators.phase_tables import phase_table
+from phasewise.sources.schemas import CSV_OPTIONS
 
 
 def write_features(features: DataFrame, path: str) -> None:
     """The wide table as CSV with a header, drug first."""
-    features.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    features.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def stack_phases(features: DataFrame, phases: list[str] = MODEL_PHASES) -> DataFrame:

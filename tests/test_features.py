@@ -5,7 +5,7 @@ import pytest
 from phasewise.operators import clean, expand, features
 from phasewise.operators.phase_tables import phase_table
 from phasewise.plans import feature_extraction as extraction
-from phasewise.sources import readers, sinks
+from phasewise.sources import readers
 from tests.frames import by_drug, trial, trials
 
 ROWS = [
@@ -148,7 +148,7 @@ def test_csv_source_uses_headers_in_any_order(spark, tmp_path):
         "`Primary Drugs` string, `Planned Subject Number` string, `Trial ID` string, other string",
     )
     frame.write.option("header", True).csv(path)
-    row = readers.read_trials(spark, path, "csv").first()
+    row = readers.read_trials(spark, path, "csv", multiLine=True).first()
     assert (row["trial_id"], row["primary_drugs"], row["planned_subject_number"]) == ("7", "A", 12.0)
     assert len(row) == 19 and row["location"] is None
 

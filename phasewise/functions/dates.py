@@ -39,13 +39,16 @@ def parse_date(cell: Column) -> Column:
         iso = F.concat(parts.year, F.lit("-"), month.cast("string"), F.lit("-"), day)
         return F.when(parts.year != "", iso.try_cast("date"))
 
-    # A one-element array, so that each part is extracted once however often it is used.
-    parts = F.struct(
-        F.regexp_extract(cell, _DATE, 1).alias("day"),
-        F.regexp_extract(cell, _DATE, 2).alias("month"),
-        F.regexp_extract(cell, _DATE, 3).alias("year"),
-    )
-    return F.get(F.transform(F.array(parts), assemble), 0)
+    def extract(text: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(text, _DATE, 1).alias("day"),
+            F.regexp_extract(text, _DATE, 2).alias("month"),
+            F.regexp_extract(text, _DATE, 3).alias("year"),
+        )
+
+    # One-element arrays, so that the cell and its parts are worked out once each, however
+    # often they are used.
+    return F.get(F.transform(F.transform(F.array(cell), extract), assemble), 0)
 
 
 def settled_date(cell: Column) -> Column:

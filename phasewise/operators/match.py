@@ -70,28 +70,38 @@ def compulsory_texts(name: Column, regex: bool) -> Column:
     )
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_pattern(names: pd.Series) -> pd.Series:
-    def compiles(name: str) -> bool:
-        try:
-            re.compile(name)
-        except re.error:
-            return False
-        return True
-
-    return names.map(compiles).astype(bool)
-
-
-@F.pandas_udf(T.BooleanType())
-def _pattern_found(names: pd.Series, texts: pd.Series) -> pd.Series:
-    def found(name: str, text: str) -> bool:
-        # re keeps recently compiled patterns, so repeated names are compiled once.
-        try:
-            return re.search(name, text, re.IGNORECASE) is not None
-        except re.error:
-            return False
-
-    return pd.Series([found(n, t) for n, t in zip(names, texts)], dtype=bool)
+# The two Python tests are defined inside functions, so that they travel to the executors
+# with the plan and this package need not be installed there.
+
+
+def _is_pattern(name: str) -> Column:
+    @F.pandas_udf(T.BooleanType())
+    def compiles(names: pd.Series) -> pd.Series:
+        def test(pattern: str) -> bool:
+            try:
+                re.compile(pattern)
+            except re.error:
+                return False
+            return True
+
+        return names.map(test).astype(bool)
+
+    return compiles(name)
+
+
+def _pattern_found(name: str, text: str) -> Column:
+    @F.pandas_udf(T.BooleanType())
+    def found(names: pd.Series, texts: pd.Series) -> pd.Series:
+        def test(pattern: str, cell: str) -> bool:
+            # re keeps recently compiled patterns, so repeated names are compiled once.
+            try:
+                return re.search(pattern, cell, re.IGNORECASE) is not None
+            except re.error:
+                return False
+
+        return pd.Series([test(n, t) for n, t in zip(names, texts)], dtype=bool)
+
+    return found(name, text)
 
 
 def invalid_names(names: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces a worker remembers; older ones are encoded again when they return.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 400_000
+#: Pairs of neighbouring tokens whose stability a worker remembers.
+CACHED_PAIRS = 1_000_000
 _LONG_TEXT = 1 << 20
 
 
@@ -30,7 +32,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.known_pairs: dict[int, bool] = {}
         # A single byte is its own pair of parts. Tokens that merging never produces have no
         # parts; they are used only where they are a whole piece.
         self.parts: dict[int, tuple[int, int]] = {}
@@ -43,6 +45,10 @@ class Vocabulary:
                 if left in self.parts and right in self.parts and self.stable(left, right, rank):
                     self.parts[rank] = (left, right)
                     break
+        #: Every end of a token that merging produces, with its rank or -1 if it is none.
+        self.ends = {token[i:]: -1 for token, rank in ranks.items() if rank in self.parts
+                     for i in range(len(token))}
+        self.ends |= {token: rank for token, rank in ranks.items() if rank in self.parts}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -50,6 +56,16 @@ class Vocabulary:
             pairs = (line.split() for line in lines if line.strip())
             return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
 
+    def fits(self, left: int, right: int) -> bool:
+        """``stable`` without a limit, remembered."""
+        pair = left << 32 | right
+        known = self.known_pairs.get(pair)
+        if known is None:
+            if len(self.known_pairs) >= CACHED_PAIRS:
+                self.known_pairs.clear()
+            known = self.known_pairs[pair] = self.stable(left, right)
+        return known
+
     def stable(self, left: int, right: int, limit: float = float("inf")) -> bool:
         """Whether two neighbouring tokens stay apart under all merges ranked below ``limit``.
 
@@ -81,21 +97,22 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         vocabulary, last = self.vocabulary, self.last
-        ranks, parts, stable, longest = (
-            vocabulary.ranks, vocabulary.parts, vocabulary.stable, vocabulary.longest,
-        )
+        rank, known, fits = vocabulary.ends.get, vocabulary.known_pairs.get, vocabulary.fits
         begin = len(self.data)
         self.data = data = self.data + more
         for end in range(begin + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is None or token not in parts:
+            for start in range(end - 1, -1, -1):
+                token = rank(data[start:end])
+                if token is None:
+                    raise ValueError("the vocabulary lacks a single byte")
+                if token < 0:
                     continue
-                if start == 0 or stable(last[start], token):
-                    last.append(token)
+                if not start:
                     break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
+                good = known(last[start] << 32 | token)
+                if good or good is None and fits(last[start], token):
+                    break
+            last.append(token)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Exchange bytes ``start`` to ``end``; what lies before is not worked out again."""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasewise.llm import byte_bpe, decontaminate, language_id
-from phasewise.llm.staging import table
+from phasewise.llm import byte_bpe, decontaminate, jaccard_join, language_id
+from phasewise.llm.staging import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -39,6 +39,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def _shipped(run: Callable[[SparkSession, str], DataFrame]):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, run in globals().items()
+    return {name: _shipped(run) for name, run in globals().items()
             if name.startswith("op") and name[2].isdigit()}

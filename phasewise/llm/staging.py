@@ -6,8 +6,13 @@ before, and later readers get column pruning and size statistics.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+import phasewise
 from phasewise.session import fresh_path
 
 
@@ -25,3 +30,19 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per application.
+
+    Functions that run in Python workers are found there by module name.
+    """
+    context = spark.sparkContext
+    if any("phasewise-modules" in file for file in context.listFiles):
+        return
+    root = Path(phasewise.__file__).parent
+    archive = Path(tempfile.mkdtemp()) / "phasewise-modules.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in root.rglob("*.py"):
+            out.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(archive))

@@ -8,7 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasewise.llm import byte_bpe, decontaminate, jaccard_join, language_id
+from phasewise.llm import (
+    byte_bpe,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    substring_dedup,
+)
 from phasewise.llm.staging import ship_package, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -39,6 +45,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
+import string
+
+_LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""
+with rows as (
+  select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as ls
+  from documents),
+lines as (
+  select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from rows),
+keyed as (
+  select *, translate(trim(line, {_BLANKS}), {_LOWER}) as key from lines),
+shared as (
+  select key, min(doc_id) as first from keyed where length(key) >= 10
+  group by key having count(distinct doc_id) >= 2),
+judged as (
+  select r, k.doc_id, line, pos, coalesce(k.doc_id <> first, false) as gone
+  from keyed k left join shared s on k.key = s.key)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count_if(gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from judged group by r
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": LINE_DEDUP}

@@ -13,6 +13,7 @@ from phasewise.llm import (
     decontaminate,
     jaccard_join,
     language_id,
+    line_dedup,
     substring_dedup,
 )
 from phasewise.llm.staging import ship_package, table
@@ -31,6 +32,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped",
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language_id.fold(4) == 2, F.lit(False))

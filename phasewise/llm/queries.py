@@ -15,6 +15,7 @@ from phasewise.llm import (
     language_id,
     line_dedup,
     substring_dedup,
+    toxicity,
 )
 from phasewise.llm.staging import ship_package, table
 
@@ -32,6 +33,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(language_id.fold(3) == 1, F.lit(False))
+    model = toxicity.train(docs, labels.filter(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped",

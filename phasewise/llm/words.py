@@ -87,7 +87,8 @@ class Words:
         if len(inside) and inside[0]:
             change = np.concatenate(([0], change))
         self.starts, self.ends = change[0::2], change[1::2]
-        self.hashes = mix(_spans(_BYTES[raw], self.starts, self.ends, 0))
+        self._values = _BYTES[raw]
+        self.hashes = mix(_spans(self._values, self.starts, self.ends, 0))
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         limits = np.concatenate(([0], np.cumsum(lengths)))
         #: Word ``bounds[i]`` is the first of text i.
@@ -102,6 +103,12 @@ class Words:
     def run(self, begin: int, size: int) -> bytes:
         return b" ".join(self.word(i) for i in range(begin, begin + size))
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of at least ``size`` bytes, and a hash of their first ``size`` bytes."""
+        own = np.flatnonzero(self.ends - self.starts >= size)
+        begin = self.starts[own]
+        return own, mix(_spans(self._values, begin, begin + size, 0) + _U(size))
+
     def run_hashes(self, size: int, second: bool = False) -> np.ndarray:
         """Hash of the ``size`` words from each word on; the last ``size - 1`` have none.
 

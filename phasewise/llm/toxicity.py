@@ -24,9 +24,9 @@ FEATURE_BITS = 20
 #: Lengths in bytes of the word beginnings used besides whole words.
 BEGINNINGS = (4, 5, 6)
 #: A feature takes part if its rates under the two labels differ by so many deviations.
-MIN_DEVIATIONS = 5.0
+MIN_DEVIATIONS = 6.0
 #: Weight of the squared score change under a swap, and of the squared weights.
-SWAP_PENALTY, WEIGHT_PENALTY = 1.0, 1e-5
+SWAP_PENALTY, WEIGHT_PENALTY = 1.0, 3e-5
 STEPS, STEP_SIZE = 600, 0.1
 #: Terms that name a group, by kind. A term is swapped for the next of its kind.
 IDENTITY_TERMS = {

@@ -26,6 +26,73 @@ select any_value(doc_id) as doc_id, count(*) as n_lines, count_if(gone)::bigint
 from judged group by r
 """
 
+PREFERENCES = """
+with ends as (
+  select conv_id, max(turn) as last from conversations where role = 'assistant' group by conv_id),
+sides as (
+  select conv_id as pair_id, 'chosen' as side, turn, role, text from conversations
+  union all
+  select c.conv_id, 'rejected', turn, role, text from conversations c join ends using (conv_id)
+  where turn < last
+  union all
+  select c.conv_id - 1, 'rejected', 1099511627776, role, text
+  from conversations c join ends using (conv_id)
+  where turn = last and role = 'assistant'
+    and c.conv_id - 1 in (select conv_id from conversations)),
+numbered as (
+  select pair_id, side, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by pair_id, side order by turn nulls first,
+      coalesce(role, ''), coalesce(text, '')) as n
+  from sides where pair_id is not null),
+sizes as (
+  select pair_id, count_if(side = 'chosen') as c, count_if(side = 'rejected') as r
+  from numbered group by pair_id),
+differing as (
+  select a.pair_id, min(a.n) as n from numbered a join numbered b
+  on a.pair_id = b.pair_id and a.n = b.n and a.side = 'chosen' and b.side = 'rejected'
+  where a.role <> b.role or a.text <> b.text group by a.pair_id),
+common as (
+  select pair_id, coalesce(d.n - 1, least(c, r)) as n_common
+  from sizes left join differing d using (pair_id)),
+rendered as (
+  select pair_id, side, n, n > n_common as own, '<|' || role || '|>' || chr(10) as head,
+    text || '<|end|>' || chr(10) as body, (role = 'assistant')::int as train, n_common
+  from numbered join common using (pair_id)),
+masked as (
+  select *, length(head) || ':0,' || length(body) || ':' || train as mask from rendered)
+select pair_id, any_value(n_common) as n_common,
+  coalesce(string_agg(head || body, '' order by n) filter (side = 'chosen' and not own), '') as prompt,
+  coalesce(string_agg(head || body, '' order by n) filter (side = 'chosen' and own), '') as chosen,
+  coalesce(string_agg(mask, ',' order by n) filter (side = 'chosen' and own), '') as chosen_mask,
+  coalesce(string_agg(head || body, '' order by n) filter (side = 'rejected' and own), '') as rejected,
+  coalesce(string_agg(mask, ',' order by n) filter (side = 'rejected' and own), '') as rejected_mask
+from masked group by pair_id
+"""
+
+SHARDING = """
+with rows as (
+  select row_number() over () as r, doc_id, strlen(coalesce(text, '')) as bytes,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || chr(31) || coalesce(text, '')), 1, 15))
+      ::bigint as hash
+  from documents),
+levels as (
+  select r, doc_id, bytes, hash, d, hash >> (60 - d) as prefix
+  from rows, (select unnest(range(61))::int as d)),
+buckets as (
+  select d, prefix, sum(bytes)::bigint as shard_bytes, count(*) as shard_docs from levels
+  group by d, prefix having sum(bytes) <= 1048576 or min(hash) = max(hash)),
+leaves as (
+  select r, doc_id, hash, min(l.d) as depth from levels l join buckets b
+  on l.d = b.d and l.prefix = b.prefix group by r, doc_id, hash)
+select doc_id, case when depth = 0 then '' else lpad(bin(hash >> (60 - depth)), depth, '0') end
+  as shard, depth, shard_bytes, shard_docs
+from leaves join buckets on d = depth and prefix = hash >> (60 - depth)
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP}
+    return {
+        "op4_preferences": PREFERENCES,
+        "op5_line_dedup": LINE_DEDUP,
+        "op7_sharding": SHARDING,
+    }

@@ -14,6 +14,8 @@ from phasewise.llm import (
     jaccard_join,
     language_id,
     line_dedup,
+    preferences,
+    sharding,
     substring_dedup,
     toxicity,
 )
@@ -42,6 +44,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = preferences.reply_preferences(table(spark, sf_dir, "conversations"))
+    found = preferences.format_preferences(sides)
+    both = [column for side in ("chosen", "rejected") for column in (
+        preferences.render(F.col(side)).alias(side),
+        preferences.mask(F.col(side)).alias(f"{side}_mask"))]
+    return found.select("pair_id", "n_common", "prompt", *both)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped",
@@ -56,6 +67,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),

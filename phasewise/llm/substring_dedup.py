@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     with_id = rows.filter("doc is not null")
     grams = stage(_document_grams(with_id, window), "grams")
     flagged = stage(repeated_grams(grams), "flagged")
-    left = with_id.join(flagged, "row")
+    # Both joins read the same exchange of the texts; rows without doc are never flagged.
+    left = rows.join(flagged, "row")
     starts = _settle(_send_windows(left, window)).groupBy("row").agg(
         F.collect_set("pos").alias("starts"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phasewise.llm import (
     byte_bpe,
     decontaminate,
+    hashing_search,
     jaccard_join,
     language_id,
     line_dedup,
@@ -24,6 +25,10 @@ from phasewise.llm.staging import ship_package, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_hashing_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_search.nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from phasewise.llm.staging import stage
+from phasewise.llm.staging import carried, stage
 from phasewise.llm.words import ALPHANUMERIC, Words, slices, utf8
 
 WINDOW = 10
@@ -161,7 +162,7 @@ def _search(words: Words, block: Block, members: dict[int, _Members]):
     return np.cumsum(change[:-1]) > 0, pairs
 
 
-def _pass(docs: DataFrame, block: Block, key: str, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, block: Block, carry: bool, last: bool) -> DataFrame:
     """Add the hits of one block; ``hit`` has a bit per word, ``items`` the item ids."""
     broadcast = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -187,17 +188,21 @@ def _pass(docs: DataFrame, block: Block, key: str, last: bool) -> DataFrame:
                     n_hit.append(int(hit.sum()))
                     hits.append(np.packbits(hit).tobytes())
                     items.append(sorted(new[t].union(old_items or ())))
-            columns = {key: batch.column(key), "n_words": pa.array(n_words, pa.int64()),
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words, pa.int64()),
                        "n_hit": pa.array(n_hit, pa.int64()), "hit": pa.array(hits, pa.binary()),
                        "items": pa.array(items, pa.list_(pa.string()))}
-            if not last:
-                columns["text"] = batch.column("text")
+            for name in names:
+                columns[name] = batch.column(name)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_words long, n_hit long, hit binary, items array<string>"
-    return docs.select(key, "text", "hit", "items").mapInArrow(
-        run, schema if last else schema + ", text string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType.fromDDL(
+        f"doc_id {kind}, n_words long, n_hit long, hit binary, items array<string>")
+    names = ["carried"] * carry + ["text"] * (not last)
+    for name in names:
+        schema.add(docs.schema[name])
+    columns = ["doc_id", "text", "hit", "items"] + ["carried"] * carry
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Row]]:
@@ -213,7 +218,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                       block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the words that benchmark windows cover.
 
     Columns: doc_id, n_words, n_hit, hit (a bit per word, first word in the highest bit of
@@ -221,20 +226,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lowered.
     Null and empty texts have no words. Items without id, text or words take no part; rows
     of the same item count as one item; an item shorter than a window is one window.
-    Repeated rows and null doc_ids pass through; other columns are not read. An empty
-    benchmark hits nothing.
+    Repeated rows and null doc_ids pass through. With ``carry``, a struct ``carried`` holds
+    all columns of the row; else other columns are not read. An empty benchmark hits nothing.
     """
     state = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("hit"),
-                        F.lit(None).cast("array<string>").alias("items"))
+                        F.lit(None).cast("array<string>").alias("items"),
+                        *([carried(docs)] if carry else []))
     source = docs
     waiting: Block | None = None
     for rows in blocks(benchmark, block_bytes):
         if waiting is not None:
-            state = stage(_pass(state, waiting, "doc_id", last=False), "decontaminate")
+            state = stage(_pass(state, waiting, carry, last=False), "decontaminate")
             source = state
         waiting = Block(rows, window)
         waiting.choose_prefixes(_shingle_counts(source, waiting) if waiting.windows else {})
     if waiting is None:
         waiting = Block([], window)
         waiting.choose_prefixes({})
-    return _pass(state, waiting, "doc_id", last=True)
+    return _pass(state, waiting, carry, last=True)

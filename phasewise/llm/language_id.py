@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phasewise.llm.staging import carried, with_carried
 from phasewise.llm.words import SLICE, Words, byte_table, utf8
 
 #: N-gram lengths and hash buckets; the model is buckets x languages of 4-byte numbers.
@@ -196,14 +197,14 @@ def mixtures(logs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return share
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the languages of the text.
 
     Columns: doc_id, lang_pred (the language with the largest share, ties to the first name;
     ``und`` if the text is null, empty or without letters, or nothing was learned), score
-    (its share, 0 for ``und``), langs and shares (the selected set). Repeated rows and null
-    doc_ids pass through; other columns are not read. Rows are scored one by one, without a
-    shuffle.
+    (its share, 0 for ``und``), langs and shares (the selected set). With ``carry``, a struct ``carried``
+    holds all columns of the row; else other columns are not read. Repeated rows and null
+    doc_ids pass through. Rows are scored one by one, without a shuffle.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -233,12 +234,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     shares.append(share[used].tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                ["doc_id", "lang_pred", "score", "langs", "shares"])
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, langs array<string>, "
-             "shares array<double>")
+                 pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64())),
+                 *([batch.column("carried")] if carry else [])],
+                ["doc_id", "lang_pred", "score", "langs", "shares"] + ["carried"] * carry)
+
+    columns = ["doc_id", "text"] + [carried(docs)] * carry
+    schema = (f"doc_id {kind}, lang_pred string, score double, langs array<string>, "
+              "shares array<double>")
+    return docs.select(*columns).mapInArrow(run, with_carried(schema, docs, carry))
 
 
 def fold(modulus: int):

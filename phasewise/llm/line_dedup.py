@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasewise.llm.staging import partitions, stage
+from phasewise.llm.staging import carried, partitions, stage
 from phasewise.session import fresh_path
 
 #: Shortest key that is compared, in code points.
@@ -105,19 +105,22 @@ def _dropped(lines: DataFrame, runs: SortedRuns) -> DataFrame:
     return lines.join(repeated, ["h1", "h2"]).filter("seen or doc_id > low").select("row", "pos")
 
 
-def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
+                carry: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its lines without those of smaller documents.
 
     Columns: doc_id, n_lines, n_dropped, kept (lines left, joined by newlines). Keys are
     lines without blanks at the ends, A-Z lowered; of a key of at least ``MIN_KEY`` code
     points found in several documents, only the smallest doc_id keeps its lines, all of them.
     A null or empty text is one empty line. A row without doc_id takes no part and stays
-    whole; rows that repeat a doc_id count as one document. Other columns are not read.
+    whole; rows that repeat a doc_id count as one document. With ``carry``, a struct
+    ``carried`` holds all columns of the row; else other columns are not read.
     ``doc_id`` must be numeric. Hashes have 128 bits.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"),
-                       _lines(F.col("text")).alias("lines"))
+                       _lines(F.col("text")).alias("lines"),
+                       *([carried(docs)] if carry else []))
     path = fresh_path(spark, "lines")
     lines = _batched_lines(rows, batches)
     lines.write.partitionBy("batch").parquet(path)
@@ -137,4 +140,4 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -
     return joined.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
-        kept.alias("kept"))
+        kept.alias("kept"), *(["carried"] if carry else []))

@@ -10,7 +10,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import phasewise
 from phasewise.session import fresh_path
@@ -24,6 +26,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame) -> Column:
+    """All columns of a table as one column ``carried``, to go through an operator."""
+    return F.struct(*[df[name] for name in df.columns]).alias("carried")
+
+
+def with_carried(schema: str, df: DataFrame, carry: bool) -> StructType:
+    """The schema, followed by ``carried`` if asked for."""
+    out = StructType.fromDDL(schema)
+    return out.add("carried", StructType(df.schema.fields)) if carry else out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pieces a worker remembers; older ones are encoded again when they return.
-CACHED_PIECES = 400_000
+#: Distinct pieces in each of the two generations a worker remembers.
+CACHED_PIECES = 150_000
 #: Pairs of neighbouring tokens whose stability a worker remembers.
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 300_000
 _LONG_TEXT = 1 << 20
 
 
@@ -136,16 +137,20 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = max(vocabulary.tokens) + 1
         self.token_list = [vocabulary.tokens.get(i, b"") for i in range(size)]
 
     def piece(self, piece: str) -> bytes:
         if len(self.known) >= CACHED_PIECES:
-            self.known.clear()
-        data = piece.encode()
-        rank = self.vocabulary.ranks.get(data)
-        ids = [rank] if rank is not None else PrefixTable(self.vocabulary, data).ids()
-        packed = self.known[piece] = np.array(ids, dtype="<u4").tobytes()
+            self.older, self.known = self.known, {}
+        packed = self.older.get(piece)
+        if packed is None:
+            data = piece.encode()
+            rank = self.vocabulary.ranks.get(data)
+            ids = [rank] if rank is not None else PrefixTable(self.vocabulary, data).ids()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self.known[piece] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
@@ -218,4 +223,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
 
     decoded = encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary")
-    return decoded.select("doc_id", F.decode("bytes", F.lit("utf-8")).alias("text"))
+    return decoded.select("doc_id", F.decode("bytes", "utf-8").alias("text"))

@@ -20,7 +20,7 @@ from phasewise.llm import (
     substring_dedup,
     toxicity,
 )
-from phasewise.llm.staging import ship_package, table
+from phasewise.llm.staging import prepare, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -92,7 +92,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shipped(run: Callable[[SparkSession, str], DataFrame]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return run(spark, sf_dir)
 
     return query

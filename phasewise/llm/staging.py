@@ -45,11 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once per application.
+#: Bytes of a batch that a Python worker gets at a time.
+BATCH_BYTES = 8 << 20
 
-    Functions that run in Python workers are found there by module name.
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session fit for operators that run in Python workers.
+
+    Batches are bounded by bytes, as texts may be long: a worker's memory follows from that.
+    This package's modules go to the executors, once per application, as functions are found
+    there by module name.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if any("phasewise-modules" in file for file in context.listFiles):
         return

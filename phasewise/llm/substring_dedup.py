@@ -209,7 +209,7 @@ def _keep(rows: DataFrame, window: int, id_type: str, keep_text: bool) -> DataFr
         run, schema + ", kept binary" * keep_text)
     done = done.withColumn("doc_id", F.col("doc_id").cast(id_type))
     if keep_text:
-        done = done.withColumn("kept", F.decode("kept", F.lit("utf-8")))
+        done = done.withColumn("kept", F.decode("kept", "utf-8"))
     return done
 
 

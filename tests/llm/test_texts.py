@@ -201,8 +201,8 @@ def components(rows, size, num, den):
     return Counter((i, len(s), None if i is None else find(i) if s else i) for i, s in sets)
 
 
-@pytest.mark.parametrize("size,threshold", [(4, (85, 100)), (1, (6, 10)), (2, (99, 100))])
-@pytest.mark.parametrize("block", [500, 2])
+@pytest.mark.parametrize("size,threshold,block", [
+    (4, (85, 100), 500), (4, (85, 100), 2), (1, (7, 10), 500)])
 def test_jaccard_components(spark, monkeypatch, size, threshold, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     rows = [r for r in texts() if r != (40, "an other text under a used id")]

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces in each of the two generations a worker remembers.
-CACHED_PIECES = 150_000
+CACHED_PIECES = 100_000
 #: Pairs of neighbouring tokens whose stability a worker remembers.
-CACHED_PAIRS = 300_000
+CACHED_PAIRS = 200_000
 _LONG_TEXT = 1 << 20
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.llm.staging import carried, with_carried
-from phasewise.llm.words import SLICE, Words, byte_table, utf8
+from phasewise.llm.words import Words, byte_table, utf8
 
 #: N-gram lengths and hash buckets; the model is buckets x languages of 4-byte numbers.
 GRAMS = (1, 2, 3, 4)
@@ -26,6 +26,8 @@ BUCKETS = 1 << 17
 ROUNDS, MORE_ROUNDS = 6, 3
 #: Weight of the penalty of half the logarithm of the word count per language.
 PENALTY = 2.0
+#: Characters whose distinct words are worked out together.
+LETTERS_AT_A_TIME = 1 << 19
 #: Bytes of words: ASCII lower-case letters and all characters beyond ASCII.
 LETTERS = byte_table(lambda b: 97 <= b <= 122 or b >= 128)
 _DRAW = np.random.Generator(np.random.PCG64(6)).integers(
@@ -89,10 +91,10 @@ class Grams:
 
 
 def _text_slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``SLICE`` characters each."""
+    """Ranges of consecutive texts of about ``LETTERS_AT_A_TIME`` characters each."""
     begin, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > SLICE:
+        if held and held + len(text) > LETTERS_AT_A_TIME:
             yield begin, i
             begin, held = i, 0
         held += len(text) + 1

@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that a Python worker gets at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled at a time; longer texts form a slice of their own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _draw = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _draw.integers(0, 1 << 64, 256, dtype=np.uint64)

@@ -38,15 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trial per order. Parts give drugs, organisations and designs; suppliers centres.
 
-    One aggregation over lineitem: the lines that matter for the list cells are kept as a
-    set, next to the totals over all lines.
+    One aggregation over lineitem: an order's lines are kept as a set for the list cells,
+    next to the totals.
     """
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
     )
-    listed = (F.col("l_linenumber") <= 3) & F.col("p_partkey").isNotNull()
+    listed = F.col("p_partkey").isNotNull()
     cells = F.when(listed, F.struct("l_partkey", "l_suppkey", "p_name", "p_type"))
     per_order = (
         lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")

@@ -31,7 +31,7 @@ DESIGN = _replaced("raw_design", RARE_DESIGNS, "Other Design Status")
 
 # The trials, as a star of orders with parts and suppliers; see FIXTURES.md.
 _TRIALS = """
-li as (select distinct l_orderkey k, l_partkey, l_suppkey from lineitem where l_linenumber<=3),
+li as (select distinct l_orderkey k, l_partkey, l_suppkey from lineitem),
 agg as (select k, string_agg('drug '||l_partkey, ', ' order by 'drug '||l_partkey) drugs, string_agg(p_name, ', ' order by p_name) orgs, string_agg('c'||l_suppkey||'|x', ';' order by 'c'||l_suppkey||'|x') centres from li join part on l_partkey=p_partkey group by k),
 des as (select k, string_agg(d, ', ' order by d) design from (select distinct k, case p_type when 'ECONOMY' then 'randomised' when 'LARGE' then 'open' when 'MEDIUM' then 'case control' when 'PROMO' then 'double-blind' when 'SMALL' then 'sequential' else 'multicentre' end d from li join part on l_partkey=p_partkey) q group by k),
 sh as (select l_orderkey k, max(l_shipdate) e, sum(l_quantity) n from lineitem group by l_orderkey),

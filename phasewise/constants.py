@@ -15,9 +15,6 @@ PHASES = [
 # The phases that get a modelling table of their own.
 MODEL_PHASES = ["Phase I", "Phase II", "Phase III"]
 
-# Phases the drug funnel looks at.
-FUNNEL_PHASES = ["Phase I", "Phase II", "Phase III", "Phase IV", "Phase I/II", "Phase II/III"]
-
 # Phase -> the later phase whose subjects prove that it was passed.
 NEXT_PHASE = {
     "Phase I": "Phase II",

@@ -10,8 +10,16 @@ from phasewise.functions.text import strip
 
 # Letters, digits and blanks at the start of the cell; any other sign ends the date.
 _LEADING_RUN = r"(?U)^[\d\s\w]*"
-# That run when it reads: [day] [month name] year
-_DATE = r"(?U)^\s*(?:(\d{1,2})\s+)?(?:(\p{L}+)\s+)?(\d{4})\s*(?:[^\s\w]|$)"
+# That run when it is a date, in one of these orders: day, month name and year of two or four
+# digits; [month name] year; month name, day and year; year and month name. Groups 1-3, 4-5,
+# 6-8 and 9-10 hold the parts.
+_DATE = (
+    r"(?Us)^\s*(?:(\d{1,2})\s*(\p{L}+)\s*(\d{4}|\d{2})|(?:(\p{L}+)\s*)?(\d{4})"
+    r"|(\p{L}+)\s*(\d{1,2})\s+(\d{4})|(\d{4})\s*(\p{L}+))\s*(?:[^\s\w].*|$)"
+)
+# A sign that no cell holds stands before every group of a match.
+_MARK = "\x01"
+_GROUPS = _MARK + _MARK.join(f"${i}" for i in range(1, 11))
 
 
 def date_text(cell: Column) -> Column:
@@ -23,28 +31,31 @@ def is_planned(cell: Column) -> Column:
 
 
 def parse_date(cell: Column) -> Column:
-    """``12 Jan 2015``, ``Jan 2015`` or ``2015`` as a date; anything else is null.
+    """``12 Jan 2015``, ``Jan 2015``, ``2015`` and the like as a date; anything else is null.
 
-    Missing months and days become the first. The result is built from its parts, so an
-    unreadable cell costs no exception on the executor.
+    Also read are ``Jan 12 2015``, ``2015 Jan``, ``12Jan2015`` and ``12 Jan 15``; years of two
+    digits up to 68 are 20xx. Missing months and days become the first. One pattern call per
+    cell marks all parts; the result is built from them, so an unreadable cell costs no
+    exception on the executor.
     """
     month_numbers = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
 
-    def assemble(parts: Column) -> Column:
-        month = (
-            F.when(parts.month != "", F.try_element_at(month_numbers, F.lower(parts.month)))
-            .when(parts.day == "", F.lit(1))
-        )
-        day = F.when(parts.day == "", F.lit("1")).otherwise(parts.day)
-        iso = F.concat(parts.year, F.lit("-"), month.cast("string"), F.lit("-"), day)
-        return F.when(parts.year != "", iso.try_cast("date"))
-
     def extract(text: Column) -> Column:
-        return F.struct(
-            F.regexp_extract(text, _DATE, 1).alias("day"),
-            F.regexp_extract(text, _DATE, 2).alias("month"),
-            F.regexp_extract(text, _DATE, 3).alias("year"),
-        )
+        return F.split(F.regexp_replace(text, _DATE, _GROUPS), _MARK)
+
+    def assemble(parts: Column) -> Column:
+        def first(*groups: int) -> Column:
+            return F.concat(*[F.get(parts, i) for i in groups])
+
+        # Groups of the orders that do not apply are empty.
+        day, name, year = first(1, 7), first(2, 4, 6, 10), first(3, 5, 8, 9)
+        year = F.when(F.length(year) == 2, F.concat(F.when(year <= "68", "20").otherwise("19"), year)
+                      ).otherwise(year)
+        month = F.when(name == "", F.lit(1)).otherwise(
+            F.try_element_at(month_numbers, F.lower(name)))
+        iso = F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"),
+                       F.when(day == "", "1").otherwise(day))
+        return F.when(F.size(parts) == 11, iso.try_cast("date"))
 
     # One-element arrays, so that the cell and its parts are worked out once each, however
     # often they are used.

@@ -24,12 +24,16 @@ def not_planned(trials: DataFrame) -> DataFrame:
 
 
 def with_dates(trials: DataFrame) -> DataFrame:
-    return trials.withColumns(
-        {
-            "trial_start": dates.settled_date(F.col(START)),
-            "trial_end": dates.settled_date(F.col(END)),
-        }
+    """Add ``trial_start`` and ``trial_end``.
+
+    Both come out of a generator, so that filters on them stay above it and read the dates
+    instead of parsing the cells again.
+    """
+    settled = F.struct(
+        dates.settled_date(F.col(START)).alias("trial_start"),
+        dates.settled_date(F.col(END)).alias("trial_end"),
     )
+    return trials.drop("trial_start", "trial_end").select("*", F.inline(F.array(settled)))
 
 
 def before(trials: DataFrame, cutoff: str = CUTOFF_DATE) -> DataFrame:

@@ -27,8 +27,18 @@ LONG_TO_WIDE = {
 }
 
 
+def name_sql(name: str) -> str:
+    """A column name as SQL text, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    """A string literal as SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(name_sql(name))
 
 
 def by_phase(exploded: DataFrame) -> DataFrame:
@@ -147,12 +157,12 @@ def wide_cells(phases: list[str]) -> list[str]:
     cells = []
     for name, suffix in LONG_TO_WIDE.items():
         for phase in phases:
-            value = f"`{phase}_{name}`"
+            value = name_sql(f"{phase}_{name}")
             if name == "trial_length":
                 cell = f"coalesce({value}, 0d)"
             else:
-                cell = f"if(`{phase}_n` IS NULL, 0d, {value})"
-            cells.append(f"{cell} AS `{phase} {suffix}`")
+                cell = f"if({name_sql(f'{phase}_n')} IS NULL, 0d, {value})"
+            cells.append(f"{cell} AS {name_sql(f'{phase} {suffix}')}")
     return cells
 
 
@@ -178,13 +188,26 @@ def active_drugs(wide: DataFrame) -> DataFrame:
     return wide.filter(seen[0] | seen[1] | seen[2])
 
 
-def distinct_strings(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """The values a pivot gets its columns from; too many for columns is an error."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1)
-    values = sorted(row[0] for row in rows.collect())
-    if len(values) > limit:
-        raise ValueError(f"more than {limit} different values in {column}")
-    return values
+def distinct_strings(df: DataFrame, column: str) -> list[str]:
+    """The values a wide table gets its columns from, as many as the data has.
+
+    For values without end, such as free text, the long counts need no list.
+    """
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return sorted(row[0] for row in rows.collect())
+
+
+def status_counts_long(exploded: DataFrame) -> DataFrame:
+    """Trials per drug, phase and collapsed status, one row each."""
+    rows = by_phase(exploded).withColumn("status", text.collapse_status(F.col("trial_status")))
+    return rows.filter("status is not null").groupBy("drug", "phase", "status").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def design_counts_long(exploded: DataFrame) -> DataFrame:
+    """Trial rows per drug, phase and collapsed design, one row each."""
+    rows = explode_designs(by_phase(exploded)).filter("design is not null")
+    return rows.groupBy("drug", "phase", "design").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _count_pivot(rows: DataFrame, value: str, values: list[str] | None,

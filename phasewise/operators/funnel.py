@@ -93,7 +93,8 @@ def drug_funnel(trials: DataFrame, regex: bool = True) -> DataFrame:
 
     A drug owns every trial whose drug cell mentions its name. The trials are read once,
     down to one row per drug cell, phase and start with a count; names, texts and dates all
-    come from that table in the shared folder. Drugs whose name is no valid pattern are
+    come from that table in the shared folder. A drug whose pattern matches no cell, not
+    even its own, has no success and no times. Drugs whose name is no valid pattern are
     left out; ``funnel_exceptions`` lists them.
     """
     cells = materialise(
@@ -114,10 +115,13 @@ def drug_funnel(trials: DataFrame, regex: bool = True) -> DataFrame:
     per_drug = rows.groupBy("drug").agg(*_success_flags(), *_time_parts())
     passed_first = F.col("phase_1_success")
     per_drug = per_drug.select("drug", *SUCCESS_PAIRS, *_times())
-    return counts.join(per_drug, "drug").select(
+    if regex:
+        counts = counts.join(invalid_names(counts).select("drug"), "drug", "left_anti")
+    return counts.join(per_drug, "drug", "left").select(
         "drug",
         "num_of_trials",
-        *[(F.col(flag) & passed_first).alias(flag) for flag in SUCCESS_PAIRS],
+        *[F.coalesce(F.col(flag) & passed_first, F.lit(False)).alias(flag)
+          for flag in SUCCESS_PAIRS],
         *[F.when(passed_first, F.col(name)).alias(name) for name in TIMES],
     )
 

@@ -95,7 +95,8 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
     # Generated columns are written as SQL text: one call each instead of one per operand.
     counted = [f"status {s}" for s in statuses] + [f"design {d}" for d in designs]
     per_phase = [
-        f"max(if(phase = '{phase}', `{name}`, null)) AS `{phase}_{name}`"
+        f"max(if(phase = {ops.text_sql(phase)}, {ops.name_sql(name)}, null)) "
+        f"AS {ops.name_sql(f'{phase}_{name}')}"
         for name in ["n", *ops.LONG_TO_WIDE, *counted]
         for phase in phases
     ]
@@ -110,7 +111,8 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
     def counts(kind: str, values: list[str]) -> list[str]:
         """Zero where a drug has other counts of the kind, null where it has none."""
         return [
-            f"if({kind}_rows > 0, coalesce(`{phase}_{kind} {value}`, 0), null) AS `{phase} {value}`"
+            f"if({kind}_rows > 0, coalesce({ops.name_sql(f'{phase}_{kind} {value}')}, 0), null) "
+            f"AS {ops.name_sql(f'{phase} {value}')}"
             for phase in phases
             for value in values
         ]
@@ -119,7 +121,7 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
         "drug",
         *ops.wide_cells(phases),
         *counts("status", statuses),
-        f"`{ORGANISATION_COUNT}`",
+        ops.name_sql(ORGANISATION_COUNT),
         *counts("design", designs),
     )
     return ops.with_pass_flags(table)

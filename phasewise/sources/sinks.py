@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.constants import MODEL_PHASES
+from phasewise.operators.features import quoted
 from phasewise.operators.phase_tables import phase_table
 from phasewise.sources.schemas import CSV_OPTIONS
 
@@ -35,7 +36,7 @@ def stack_phases(features: DataFrame, phases: list[str] = MODEL_PHASES) -> DataF
     def cell(phase: str, suffix: str):
         name = f"{phase} {suffix}"
         if name in types:
-            return F.col(f"`{name}`").alias(suffix)
+            return quoted(name).alias(suffix)
         known = next(t for t in (types.get(f"{p} {suffix}") for p in phases) if t)
         return F.lit(None).cast(known).alias(suffix)
 

@@ -13,6 +13,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces in each of the two generations a worker remembers.
-CACHED_PIECES = 100_000
+CACHED_PIECES = 120_000
 #: Pairs of neighbouring tokens whose stability a worker remembers.
 CACHED_PAIRS = 200_000
-_LONG_TEXT = 1 << 20
+#: Letters of texts whose new pieces are encoded together.
+GROUP = 1 << 19
 
 
 class Vocabulary:
@@ -132,7 +134,11 @@ class PrefixTable:
 
 
 class Encoder:
-    """Pieces of a text to ids, packed as little-endian unsigned 32-bit integers."""
+    """Pieces of texts to ids, packed as little-endian unsigned 32-bit integers.
+
+    New pieces of a group of texts are encoded in sorted order over one prefix table: each
+    keeps what the table holds of the beginning it shares with the one before.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern)
@@ -141,30 +147,68 @@ class Encoder:
         size = max(vocabulary.tokens) + 1
         self.token_list = [vocabulary.tokens.get(i, b"") for i in range(size)]
 
-    def piece(self, piece: str) -> bytes:
+    def _learn(self, pieces: set[str]) -> None:
         if len(self.known) >= CACHED_PIECES:
             self.older, self.known = self.known, {}
-        packed = self.older.get(piece)
-        if packed is None:
-            data = piece.encode()
-            rank = self.vocabulary.ranks.get(data)
-            ids = [rank] if rank is not None else PrefixTable(self.vocabulary, data).ids()
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        self.known[piece] = packed
-        return packed
+        known, older, ranks = self.known, self.older.get, self.vocabulary.ranks.get
+        new = []
+        for piece in pieces.difference(known):
+            packed = older(piece)
+            if packed is None:
+                data = piece.encode()
+                rank = ranks(data)
+                if rank is None:
+                    new.append((data, piece))
+                    continue
+                packed = struct.pack("<I", rank)
+            known[piece] = packed
+        table = PrefixTable(self.vocabulary)
+        for data, piece in sorted(new):
+            before = table.data
+            shared, most = 0, min(len(before), len(data))
+            while shared < most and before[shared] == data[shared]:
+                shared += 1
+            table.replace(shared, len(before), data[shared:])
+            ids = table.ids()
+            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text; texts are split in groups of about ``GROUP`` letters."""
+        begin, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= GROUP or i == len(texts) - 1:
+                yield from self._encode_group(texts[begin : i + 1])
+                begin, held = i + 1, 0
+
+    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        if len(texts) == 1 and len(texts[0]) > 4 * GROUP:
+            # A very long text goes through in parts of its own.
+            yield b"".join(self._long(texts[0]))
+            return
+        pieces = [self.pieces.findall(text) for text in texts]
+        self._learn(set(chain.from_iterable(pieces)))
+        packed = self.known.__getitem__
+        for own in pieces:
+            yield b"".join(map(packed, own))
+
+    def _long(self, text: str) -> Iterator[bytes]:
+        matches = self.pieces.finditer(text)
+        while own := [m[0] for m in islice(matches, GROUP // 4)]:
+            self._learn(set(own))
+            yield b"".join(map(self.known.__getitem__, own))
 
     def encode(self, text: str) -> bytes:
-        if len(text) < _LONG_TEXT:
-            pieces = self.pieces.findall(text)
-        else:
-            pieces = (m[0] for m in self.pieces.finditer(text))
-        known = self.known.get
-        return b"".join([known(p) or self.piece(p) for p in pieces])
+        return next(self.encode_all([text]))
 
     def decode(self, packed: bytes) -> bytes:
         tokens = self.token_list
         return b"".join([tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
 
+    def forget(self) -> None:
+        """Give up the remembered pieces, so that an idle worker holds none."""
+        self.known, self.older = {}, {}
+
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -193,8 +237,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
         own = encoder(path, pattern)
         for batch in batches:
             counts, id_hashes, text_hashes, packed = [], [], [], []
-            for value in batch.column("text"):
-                ids = own.encode(value.as_py() or "")
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for ids in own.encode_all(texts):
                 counts.append(len(ids) // 4)
                 id_hashes.append(hashlib.sha256(ids).hexdigest())
                 text_hashes.append(hashlib.sha256(own.decode(ids)).hexdigest())
@@ -205,6 +249,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
             if keep_ids:
                 columns.append(pa.array(packed, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+        own.forget()
 
     schema = ", ".join(f"{name} {kind}" for name, kind in fields)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

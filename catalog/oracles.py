@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalog.fixtures import CUTOFF, DESIGNS, STATUSES
+from phasewise.models.training import CLASSIFIERS, REGRESSORS
 from phasewise.constants import (
     MODEL_PHASES,
     NEXT_PHASE,
@@ -161,36 +162,61 @@ def _phase_sql(phase: str) -> str:
     return _sql(f"select drug, {_columns(rounded)}, {_columns(others, False)} from features")
 
 
-def _matrix(kind: str, phase: str = "Phase I") -> str:
-    """CTE ``matrix``: the model input of a phase, all doubles, nulls zero."""
+def _matrix_names(kind: str, phase: str) -> list[str]:
+    """Feature columns of a model input, still with the phase in their names."""
     rounded, others = _phase_columns(phase)
-    names = rounded + others
+    gone = {
+        "pass": [f"{phase} Pass"] + [f"{phase} {s}" for s in STATUSES],
+        "time": [f"{phase} Pass", f"{phase} trial length"] + [f"{phase} {s}" for s in STATUSES],
+        "length": [f"{phase} Pass", f"{phase} trial length"],
+    }[kind]
+    return [n for n in rounded + others if n not in gone]
+
+
+def _short(phase: str, names: list[str]) -> list[str]:
+    return [n.removeprefix(f"{phase} ") for n in names]
+
+
+def _matrix(kind: str, phase: str) -> str:
+    """CTE ``matrix``: the model input of a phase, all doubles, nulls zero, short names."""
     length = f"{phase} trial length"
-    statuses = [f"{phase} {s}" for s in STATUSES]
     if kind == "pass":
         label = f'"{phase} Pass"::int::double'
-        gone = [f"{phase} Pass", *statuses]
     elif kind == "time":
         label = f'(case when "{length}" < 547.5 then 0 when "{length}" < 1095 then 1 else 2 end)::double'
-        gone = [f"{phase} Pass", length, *statuses]
     else:
         label = f'coalesce("{length}", 0)::double'
-        gone = [f"{phase} Pass", length]
-    kept = [n for n in names if n not in gone]
-    cells = ", ".join(f'coalesce("{n}", 0)::double "{n}"' for n in kept)
+    names = _matrix_names(kind, phase)
+    cells = ", ".join(
+        f'coalesce("{n}", 0)::double "{short}"' for n, short in zip(names, _short(phase, names)))
     return f"matrix as (select drug, {cells}, {label} as label from features),"
 
 
+def _each_phase(sql_of) -> str:
+    """The same query for every modelled phase, with the phase as a column."""
+    return " union all by name ".join(
+        f"select '{phase}' as phase, * from ({sql_of(phase)}) of_phase" for phase in MODEL_PHASES)
+
+
+def _on_matrix(kind: str, body: str, more: str = "") -> str:
+    return _each_phase(lambda phase: _sql(body, _matrix(kind, phase) + more))
+
+
 def _matrix_sql(kind: str) -> str:
-    phase = "Phase I"
-    rounded, others = _phase_columns(phase)
-    gone = {
-        "pass": [f"{phase} Pass"] + [f"{phase} {s}" for s in STATUSES],
-        "time": [f"{phase} Pass", f"{phase} trial length"] + [f"{phase} {s}" for s in STATUSES],
-        "length": [f"{phase} Pass", f"{phase} trial length"],
-    }[kind]
-    kept = [n for n in rounded + others if n not in gone]
-    return _sql(f"select drug, {_columns(kept)}, round(label, 6) as label from matrix", _matrix(kind))
+    def one(phase: str) -> str:
+        names = _short(phase, _matrix_names(kind, phase))
+        return _sql(f"select drug, {_columns(names)}, round(label, 6) as label from matrix",
+                    _matrix(kind, phase))
+
+    return _each_phase(one)
+
+
+def _scaled_sql(phase: str) -> str:
+    cells = ", ".join(
+        f"""round(("{c}" - avg("{c}") over ()) / case when stddev_pop("{c}") over () > 0
+          then stddev_pop("{c}") over () else 1 end, 6) "{c}" """
+        for c in _short(phase, _matrix_names("pass", phase)))
+    return _sql(f"select drug, {cells}, label from matrix", _matrix("pass", phase))
 
 
 _SPLIT = """
@@ -200,7 +226,43 @@ split as (select *, case when r <= ceil(0.2::double * c) then 'test' else 'train
 
 
 def _split_sql(kind: str, body: str) -> str:
-    return _sql(body, _matrix(kind) + _SPLIT)
+    return _on_matrix(kind, body, _SPLIT)
+
+
+_CLIP = "greatest(least({}, 1 - 1e-15::double), 1e-15::double)"
+_NAIVE_CONFIDENCE = f"select round(exp(avg(ln({_CLIP.format('case when label = 1 then m else 1 - m end')}))), 6) naive_confidence from split, (select avg(label) m from split where split = 'train') q where split = 'test'"
+
+# Scores that a fitted model of the pass task is logged with.
+_PASS_METRICS = ["accuracy", "precision", "recall", "f1", "confidence", "naive_accuracy",
+                 "naive_confidence", "cv_score"]
+_NAIVE_ACCURACY = ("select round(avg((label = (select round_even(avg(label), 0) from split "
+                   "where split = 'train'))::int), 6) naive_accuracy from split where split = 'test'")
+
+
+def _model_sql() -> dict[str, str]:
+    """What is known of fitted models: the rows predicted and the kinds of values."""
+    found = {}
+    for task, models in (("pass", CLASSIFIERS), ("time", CLASSIFIERS), ("length", REGRESSORS)):
+        extra = "" if task == "length" else ", true a_probability_per_class, true sums_to_one"
+        for model in models:
+            found[f"fit_{model}_{task}"] = _sql(
+                f"select drug, label, true predicted{extra} from split where split = 'test'",
+                _matrix(task, "Phase I") + _SPLIT)
+    found["odds_coefficients"] = _sql(
+        "select distinct feature, true positive from (unpivot (select * exclude (drug, label) "
+        "from matrix) on columns(*) into name short value v) q, (select unnest("
+        + str(_matrix_names("pass", "Phase I")) + ") feature) f where "
+        "feature = short or feature = 'Phase I ' || short", _matrix("pass", "Phase I"))
+    found["grid_search_lr"] = _sql(
+        f"""select 'pass' task, 'logistic_regression' model, metric,
+          case metric when 'naive_accuracy' then ({_NAIVE_ACCURACY})
+            when 'naive_confidence' then ({_NAIVE_CONFIDENCE}) end as value, true in_range
+          from (select unnest({_PASS_METRICS}) metric) m""", _matrix("pass", "Phase I") + _SPLIT)
+    found["model_sweep"] = f"""select phase, 'pass' task, model, metric, 0 points_left_out, true in_range
+      from (select unnest({MODEL_PHASES}) phase) p,
+      (select unnest(['gaussian_naive_bayes', 'multinomial_naive_bayes']) model) m,
+      (select unnest({_PASS_METRICS}) metric) x"""
+    return found
 
 
 _BINARY = """
@@ -230,7 +292,6 @@ def _weighted(letter: str) -> str:
     )
 
 
-_CLIP = "greatest(least({}, 1 - 1e-15::double), 1e-15::double)"
 
 _FUNNEL = """
 tokens as (select drug, count(*) num_of_trials from (select unnest(string_split(primary_drugs, ', ')) drug from clean) q group by drug),
@@ -337,7 +398,6 @@ def all_oracles() -> dict[str, str]:
                "organisations", "trial_design", "trial_status"]
     start, end = _date("trial_initiation_date"), _date("trial_end_date")
     run = r"trim(regexp_extract({}, '^[\d\s\w]*'))"
-    scaled = ["Phase I subject mean", "Phase I center count", ORGANISATION_COUNT]
     oracles = {
         "load_clean": _sql("select trial_id, primary_drugs, trial_start::varchar trial_start, trial_end::varchar trial_end from clean", parts=cleaned),
         "load_audit": _sql(f"""select count(*) trials, count(*) filter (where o = 'no_drugs') no_drugs, count(*) filter (where o = 'planned') planned,
@@ -412,21 +472,21 @@ def all_oracles() -> dict[str, str]:
         "time_bins": _sql("select drug, phase, round(days, 6) as days, time_bin from binned", _BINNED),
         "time_bins_entered": _sql("select binned.drug, binned.phase, round(days, 6) as days, time_bin from binned join long on binned.drug = long.drug and binned.phase = long.phase", _BINNED),
         "class_balance": _sql("select phase, time_bin, n, round(share, 6) share from balance", _BINNED),
-        "approval_product": _sql("""select task, round(naive, 6) naive, round(model, 6) model,
+        "approval_product": _sql("""select task, round(naive, 6) naive, round(model, 6) model, round(historical, 6) historical,
           round((model - naive) / case when task = 'pass' then model else naive end, 6) lift,
           round(2.6 * ((model - naive) / case when task = 'pass' then model else naive end), 6) value_billions from (
-          select 'pass' task, product(rate * rate + (1 - rate) * (1 - rate)) naive, product(greatest(rate, 1 - rate)) model from rates
-          union all select 'time', product(s2), product(top) from (select phase, sum(share * share) s2, max(share) top from balance group by phase) q) z""", _BINNED),
+          select 'pass' task, product(rate * rate + (1 - rate) * (1 - rate)) naive, product(greatest(rate, 1 - rate)) model, product(rate) historical from rates
+          union all select 'time', product(s2), product(top), null from (select phase, sum(share * share) s2, max(share) top from balance group by phase) q) z""", _BINNED),
         "table_profile": _sql("select count(*) as rows, 10::bigint as columns, " + ", ".join(f"count(*) filter (where {c} is null) null_{c}" for c in profile) + " from trials", parts=trials),
         "pass_matrix": _matrix_sql("pass"),
         "time_matrix": _matrix_sql("time"),
         "length_matrix": _matrix_sql("length"),
         "split_80_20": _split_sql("pass", "select drug, label, split from split"),
-        "split_by_threshold": _sql("select drug, label, case when ('0x' || substr(md5('42|' || drug), 1, 8))::bigint < floor(0.2::double * 4294967296) then 'test' else 'train' end split from matrix", _matrix("pass")),
-        "fold_assign": _sql("select drug, label, ntile(6) over (partition by label order by md5('42|' || drug)) - 1 fold from matrix", _matrix("time")),
-        "fold_assign_plain": _sql("select drug, label, ntile(6) over (order by md5('42|' || drug)) - 1 fold from matrix", _matrix("length")),
-        "class_weights": _sql("select label, count(*) n, round((select count(*) from matrix)::double / ((select count(distinct label) from matrix) * count(*)), 6) weight from matrix group by label", _matrix("time")),
-        "scaled_features": _sql("select drug, " + ", ".join(f"""round(("{c}" - avg("{c}") over ()) / case when stddev_pop("{c}") over () > 0 then stddev_pop("{c}") over () else 1 end, 6) "{c}" """ for c in scaled) + ", label from matrix", _matrix("pass")),
+        "split_by_threshold": _on_matrix("pass", "select drug, label, case when ('0x' || substr(md5('42|' || drug), 1, 8))::bigint < floor(0.2::double * 4294967296) then 'test' else 'train' end split from matrix"),
+        "fold_assign": _on_matrix("time", "select drug, label, ntile(6) over (partition by label order by md5('42|' || drug)) - 1 fold from matrix"),
+        "fold_assign_plain": _on_matrix("length", "select drug, label, ntile(6) over (order by md5('42|' || drug)) - 1 fold from matrix"),
+        "class_weights": _on_matrix("time", "select label, count(*) n, round((select count(*) from matrix)::double / ((select count(distinct label) from matrix) * count(*)), 6) weight from matrix group by label"),
+        "scaled_features": _each_phase(_scaled_sql),
         "accuracy": _sql("select round(avg((label = prediction)::int), 6) accuracy from predictions", parts=_BINARY),
         "binary_prf": _sql(f"""select round(acc, 6) accuracy, round(p1, 6) "precision", round(r1, 6) recall, round(f1, 6) f1, round(conf, 6) confidence from (
           select avg((label = prediction)::int) acc, {_prf(1)}, exp(avg(ln({_CLIP.format('case when label = 1 then predictions.p1 else 1 - predictions.p1 end')}))) conf from predictions) q""", parts=_BINARY),
@@ -434,8 +494,8 @@ def all_oracles() -> dict[str, str]:
         "multiclass_scores": _sql(f"""select round(acc, 6) accuracy, {_weighted('p')} "precision", {_weighted('r')} recall, {_weighted('f')} f1, round(conf, 6) confidence from (
           select avg((label = prediction)::int) acc, {_prf(0)}, {_prf(1)}, {_prf(2)}, exp(avg(ln({_CLIP.format('probability[label + 1]')}))) conf from predictions) q""", parts=_TERNARY),
         "confidence": _sql(f"select round(exp(avg(ln({_CLIP.format('probability[label + 1]')}))), 6) confidence from predictions", parts=_TERNARY),
-        "naive_accuracy": _split_sql("pass", "select round(avg((label = (select round_even(avg(label), 0) from split where split = 'train'))::int), 6) naive_accuracy from split where split = 'test'"),
-        "naive_confidence": _split_sql("pass", f"select round(exp(avg(ln({_CLIP.format('case when label = 1 then m else 1 - m end')}))), 6) naive_confidence from split, (select avg(label) m from split where split = 'train') q where split = 'test'"),
+        "naive_accuracy": _split_sql("pass", _NAIVE_ACCURACY),
+        "naive_confidence": _split_sql("pass", _NAIVE_CONFIDENCE),
         "naive_probs3": _split_sql("time", "select k as label, round((select count(*) from split where split = 'train' and label = k)::double / (select count(*) from split where split = 'train'), 6) share from (select unnest([0, 1, 2])::bigint k) q"),
         "naive_confidence3": _split_sql("time", f"""select round(exp(avg(ln({_CLIP.format('coalesce(s, 0)')}))), 6) naive_confidence from split t left join (
           select label l, count(*)::double / sum(count(*)) over () s from split where split = 'train' group by label) q on t.label = q.l where t.split = 'test'"""),
@@ -451,4 +511,5 @@ def all_oracles() -> dict[str, str]:
         + ", ".join(f'"{n}"::double "{n}"' for n in _STATUS_NAMES + [ORGANISATION_COUNT] + _DESIGN_NAMES)
         + " from features"
     )
+    oracles |= _model_sql()
     return oracles

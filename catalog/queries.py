@@ -479,6 +479,7 @@ def approval_product(spark, sf_dir):
             F.array(
                 F.struct(F.lit("naive").alias("kind"), (rate * rate + (1 - rate) * (1 - rate)).alias("score")),
                 F.struct(F.lit("model").alias("kind"), F.greatest(rate, 1 - rate).alias("score")),
+                F.struct(F.lit("historical").alias("kind"), rate.alias("score")),
             )
         ),
     )
@@ -509,74 +510,76 @@ def table_profile(spark, sf_dir):
 # Model preparation
 
 
-def pass_matrix_of(spark, sf_dir, phase="Phase I"):
-    return prepare.pass_matrix(phase_table(features_of(spark, sf_dir), phase))
+def over_phases(spark, sf_dir, task: str, run) -> DataFrame:
+    """The same step on the model input of every modelled phase, with the phase as a column.
 
+    The feature table is stored once; columns go without the phase in their names.
+    """
+    wide = materialise(features_of(spark, sf_dir), "features")
+    results = []
+    for phase in MODEL_PHASES:
+        matrix = training.MATRICES[task](phase_table(wide, phase))
+        matrix = matrix.toDF(*[name.removeprefix(f"{phase} ") for name in matrix.columns])
+        results.append(run(matrix).withColumn("phase", F.lit(phase)))
+    return tidy(sinks.union_all(results))
 
-def time_matrix_of(spark, sf_dir, phase="Phase I"):
-    return prepare.time_matrix(phase_table(features_of(spark, sf_dir), phase))
 
-
-def length_matrix_of(spark, sf_dir, phase="Phase I"):
-    return prepare.length_matrix(phase_table(features_of(spark, sf_dir), phase))
+def labels_of(matrix: DataFrame) -> DataFrame:
+    return materialise(matrix.select("drug", "label"), "labels")
 
 
 @query
 def pass_matrix(spark, sf_dir):
-    return tidy(pass_matrix_of(spark, sf_dir))
+    return over_phases(spark, sf_dir, "pass", lambda m: m)
 
 
 @query
 def time_matrix(spark, sf_dir):
-    return tidy(time_matrix_of(spark, sf_dir))
+    return over_phases(spark, sf_dir, "time", lambda m: m)
 
 
 @query
 def length_matrix(spark, sf_dir):
-    return tidy(length_matrix_of(spark, sf_dir))
+    return over_phases(spark, sf_dir, "length", lambda m: m)
 
 
 @query
 def split_80_20(spark, sf_dir):
-    matrix = materialise(pass_matrix_of(spark, sf_dir).select("drug", "label"))
-    return prepare.with_split(matrix)
+    return over_phases(spark, sf_dir, "pass", lambda m: prepare.with_split(labels_of(m)))
 
 
 @query
 def split_by_threshold(spark, sf_dir):
-    matrix = pass_matrix_of(spark, sf_dir).select("drug", "label")
-    return prepare.with_split(matrix, exact=False)
+    return over_phases(spark, sf_dir, "pass",
+                       lambda m: prepare.with_split(m.select("drug", "label"), exact=False))
 
 
 @query
 def fold_assign(spark, sf_dir):
-    matrix = materialise(time_matrix_of(spark, sf_dir).select("drug", "label"))
-    return tidy(prepare.with_folds(matrix))
+    return over_phases(spark, sf_dir, "time", lambda m: prepare.with_folds(labels_of(m)))
 
 
 @query
 def fold_assign_plain(spark, sf_dir):
-    matrix = materialise(length_matrix_of(spark, sf_dir).select("drug", "label"))
-    return tidy(prepare.with_folds(matrix, stratified=False))
+    return over_phases(spark, sf_dir, "length",
+                       lambda m: prepare.with_folds(labels_of(m), stratified=False))
 
 
 @query
 def class_weights(spark, sf_dir):
-    return tidy(prepare.class_weights(time_matrix_of(spark, sf_dir)))
+    return over_phases(spark, sf_dir, "time", prepare.class_weights)
 
 
 @query
 def scaled_features(spark, sf_dir):
-    names = ["Phase I subject mean", "Phase I center count", ORGANISATION_COUNT]
-    matrix = pass_matrix_of(spark, sf_dir).select("drug", *[f"`{n}`" for n in names], "label")
-    return tidy(prepare.scaled(materialise(matrix)))
+    return over_phases(spark, sf_dir, "pass", lambda m: prepare.scaled(materialise(m, "matrix")))
 
 
 # Scores
 
 
 def split_matrix(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    data = prepare.with_split(materialise(matrix.select("drug", "label")))
+    data = prepare.with_split(labels_of(matrix))
     return data.filter("split = 'train'"), data.filter("split = 'test'")
 
 
@@ -607,23 +610,25 @@ def confidence(spark, sf_dir):
 
 @query
 def naive_accuracy(spark, sf_dir):
-    return tidy(metrics.naive_accuracy(*split_matrix(pass_matrix_of(spark, sf_dir))))
+    return over_phases(spark, sf_dir, "pass",
+                       lambda m: metrics.naive_accuracy(*split_matrix(m)))
 
 
 @query
 def naive_confidence(spark, sf_dir):
-    return tidy(metrics.naive_confidence(*split_matrix(pass_matrix_of(spark, sf_dir))))
+    return over_phases(spark, sf_dir, "pass",
+                       lambda m: metrics.naive_confidence(*split_matrix(m)))
 
 
 @query
 def naive_probs3(spark, sf_dir):
-    train, _ = split_matrix(time_matrix_of(spark, sf_dir))
-    return tidy(metrics.class_shares(train))
+    return over_phases(spark, sf_dir, "time", lambda m: metrics.class_shares(split_matrix(m)[0]))
 
 
 @query
 def naive_confidence3(spark, sf_dir):
-    return tidy(metrics.naive_class_confidence(*split_matrix(time_matrix_of(spark, sf_dir))))
+    return over_phases(spark, sf_dir, "time",
+                       lambda m: metrics.naive_class_confidence(*split_matrix(m)))
 
 
 @query
@@ -631,28 +636,44 @@ def rmse(spark, sf_dir):
     return tidy(fx.ternary_predictions(spark, sf_dir).agg(metrics.rmse().alias("rmse")))
 
 
-# Models: fitted on the data, so checked for shape only
+# Models: which rows are predicted, and with what kind of values, is known in SQL
 
 
-# Small ensembles keep the check of a model short; the rows it is fitted on are all there.
-SMALL = {"maxIter": 4, "numTrees": 10, "maxDepth": 4}
+# One point of each model's searched ranges.
+POINTS = {
+    "logistic_regression": {"regParam": 0.01},
+    "random_forest": {"numTrees": 20, "maxDepth": 10, "minInstancesPerNode": 4},
+    "xgboost": {"stepSize": 0.1, "maxDepth": 3, "maxIter": 40, "subsamplingRate": 0.7},
+    "ols": {"fitIntercept": True},
+    "lasso": {"regParam": 1.0, "fitIntercept": True},
+    "ridge": {"regParam": 0.01, "fitIntercept": True},
+    "rfregression": {"maxDepth": 6, "numTrees": 20},
+    "gbreg": {"stepSize": 0.1, "maxIter": 100},
+    "xgbreg": {"stepSize": 0.07, "maxDepth": 3, "maxIter": 40, "subsamplingRate": 0.7},
+}
 
 
-def _fitted(spark, sf_dir, task, model_type, max_points=1, folds=2):
+def _fitted(spark, sf_dir, task, model_type, point=None):
     matrix = training.MATRICES[task](phase_table(features_of(spark, sf_dir), "Phase I"))
-    data = training.model_input(matrix, folds, stratified=task != "length")
-    return training.fit(data, task, model_type, folds, max_points, fixed=SMALL)
+    data = training.model_input(matrix, stratified=task != "length")
+    return training.fit(data, task, model_type, point=point)
 
 
 def _register_model(task: str, model_type: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fitted = _fitted(spark, sf_dir, task, model_type)
+        fitted = _fitted(spark, sf_dir, task, model_type, POINTS.get(model_type, {}))
         predicted = training.predict(fitted)
-        if task != "length":
-            predicted = predicted.withColumn(
-                "probability", F.array_join(F.transform("probability", lambda p: F.round(p, 4)), "|")
-            )
-        return tidy(predicted)
+        classes = training.TASKS[task]
+        if not classes:
+            known = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+            return predicted.select("drug", "label", known.alias("predicted"))
+        total = F.aggregate("probability", F.lit(0.0), lambda a, b: a + b)
+        return predicted.select(
+            "drug", "label",
+            F.col("prediction").isin(*map(float, range(classes))).alias("predicted"),
+            (F.size("probability") == classes).alias("a_probability_per_class"),
+            (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        )
 
     run.__name__ = f"fit_{model_type}_{task}"
     query(run)
@@ -667,23 +688,28 @@ for _model_type in training.REGRESSORS:
 
 @query
 def grid_search_lr(spark, sf_dir):
-    fitted = _fitted(spark, sf_dir, "pass", "logistic_regression", max_points=3, folds=6)
-    return tidy(training.score(fitted))
+    """All thirty points over six folds; scores within their range, the naive ones exact."""
+    fitted = _fitted(spark, sf_dir, "pass", "logistic_regression")
+    exact = F.when(F.col("metric").startswith("naive"), F.round("value", 6))
+    return training.score(fitted).select(
+        "task", "model", "metric", exact.alias("value"),
+        F.col("value").between(0, 1).alias("in_range"))
 
 
 @query
 def odds_coefficients(spark, sf_dir):
-    fitted = _fitted(spark, sf_dir, "pass", "logistic_regression")
-    return tidy(training.odds_coefficients(fitted))
+    point = POINTS["logistic_regression"]
+    fitted = _fitted(spark, sf_dir, "pass", "logistic_regression", point)
+    return training.odds_coefficients(fitted).select("feature", (F.col("odds") > 0).alias("positive"))
 
 
 @query
 def model_sweep(spark, sf_dir):
-    """Store the phase tables, sweep two models over two phases, log and read the scores."""
+    """Store the phase tables, sweep a model over all phases, log and read what was logged."""
     store, log = fresh_path(spark, "sweep-tables"), fresh_path(spark, "sweep-scores")
     sinks.write_phase_tables(features_of(spark, sf_dir), store)
     sweeps.pass_sweep(
-        spark, store, ("gaussian_naive_bayes", "logistic_regression"),
-        phases=["Phase I", "Phase II"], folds=2, max_points=1, score_path=log,
-    )
-    return tidy(spark.read.parquet(log).drop("scored_at"))
+        spark, store, ("gaussian_naive_bayes", "multinomial_naive_bayes"), score_path=log)
+    logged = spark.read.parquet(log)
+    return logged.select("phase", "task", "model", "metric", "points_left_out",
+                         F.col("value").between(0, 1).alias("in_range"))

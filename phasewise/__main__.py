@@ -26,7 +26,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     fit.add_argument("--task", choices=list(TASKS), default="pass")
     fit.add_argument("--models", nargs="+", default=["logistic_regression", "random_forest"])
     fit.add_argument("--folds", type=int, default=FOLDS)
-    fit.add_argument("--max-points", type=int, default=10, help="largest grid to search")
+    fit.add_argument("--sample-points", type=int, help="search a sample of so many grid points")
     return parser.parse_args(arguments)
 
 
@@ -39,7 +39,7 @@ def main(arguments: list[str] | None = None) -> None:
     else:
         sweeps.sweep(
             spark, options.phases, options.task, options.models, score_path=options.scores,
-            folds=options.folds, max_points=options.max_points,
+            folds=options.folds, max_points=options.sample_points,
         )
 
 

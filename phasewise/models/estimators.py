@@ -26,10 +26,20 @@ MAX_DEPTH = 30
 
 @dataclass(frozen=True)
 class Candidate:
-    """A pipeline and the parameter maps to try on it."""
+    """How to prepare features, what to fit on them, and the parameter maps to try.
 
-    pipeline: Pipeline
+    ``left_out`` counts points of the whole grid that a sample asked for does not try.
+    """
+
+    preparation: Pipeline
+    estimator: Estimator
+    searched: Estimator
     grid: list[dict]
+    left_out: int = 0
+
+    def point(self, values: dict) -> dict:
+        """A parameter map from names and values."""
+        return {self.searched.getParam(name): value for name, value in values.items()}
 
 
 def log_steps(low: float, high: float, count: int) -> list[float]:
@@ -39,7 +49,7 @@ def log_steps(low: float, high: float, count: int) -> list[float]:
 
 
 def sample_grid(choices: dict, max_points: int | None, seed: int = SEED) -> list[dict]:
-    """All combinations, or a seeded sample of them if there are more than the limit."""
+    """All combinations; with a limit, a seeded sample of them if there are more."""
     names = list(choices)
     sizes = [len(choices[name]) for name in names]
     total = math.prod(sizes)
@@ -80,11 +90,16 @@ def _candidate(features, rows, scale, estimator: Estimator, choices: dict, max_p
         last = OneVsRest(classifier=estimator, labelCol="label", featuresCol="features")
         if weighted:
             last = last.setWeightCol("weight")
-    pipeline = Pipeline(stages=[*_assemble(features, rows, scale), last])
-    return Candidate(pipeline, sample_grid(choices, max_points))
+    grid = sample_grid(choices, max_points)
+    left_out = math.prod(len(c) for c in choices.values()) - len(grid)
+    preparation = Pipeline(stages=_assemble(features, rows, scale))
+    return Candidate(preparation, last, estimator, grid, left_out)
+
+
+# The ranges searched, in the functions below.
 
 
-def logistic_regression(features, rows, classes, max_points=10) -> Candidate:
+def logistic_regression(features, rows, classes, max_points=None) -> Candidate:
     model = LogisticRegression(
         elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=100
     )
@@ -93,17 +108,17 @@ def logistic_regression(features, rows, classes, max_points=10) -> Candidate:
     return _candidate(features, rows, True, model, choices, max_points, classes, weighted=True)
 
 
-def gaussian_naive_bayes(features, rows, classes, max_points=10) -> Candidate:
+def gaussian_naive_bayes(features, rows, classes, max_points=None) -> Candidate:
     model = NaiveBayes(modelType="gaussian")
     return _candidate(features, rows, True, model, {}, max_points)
 
 
-def multinomial_naive_bayes(features, rows, classes, max_points=10) -> Candidate:
+def multinomial_naive_bayes(features, rows, classes, max_points=None) -> Candidate:
     model = NaiveBayes(modelType="multinomial", smoothing=1.0)
     return _candidate(features, rows, False, model, {}, max_points)
 
 
-def random_forest(features, rows, classes, max_points=10) -> Candidate:
+def random_forest(features, rows, classes, max_points=None) -> Candidate:
     model = RandomForestClassifier(featureSubsetStrategy="auto", weightCol="weight", seed=SEED)
     choices = {
         model.numTrees: [20, 40, 60, 80, 100, 500],
@@ -113,7 +128,7 @@ def random_forest(features, rows, classes, max_points=10) -> Candidate:
     return _candidate(features, rows, False, model, choices, max_points)
 
 
-def boosted_trees(features, rows, classes, max_points=10) -> Candidate:
+def boosted_trees(features, rows, classes, max_points=None) -> Candidate:
     model = GBTClassifier(seed=SEED)
     rounds = [40, 50, 70, 80, 90, 100] + ([200, 500] if classes > 2 else [])
     choices = {
@@ -125,19 +140,19 @@ def boosted_trees(features, rows, classes, max_points=10) -> Candidate:
     return _candidate(features, rows, False, model, choices, max_points, classes)
 
 
-def ols(features, rows, max_points=10) -> Candidate:
+def ols(features, rows, max_points=None) -> Candidate:
     model = LinearRegression(regParam=0.0, standardization=False)
     choices = {model.fitIntercept: [True, False]}
     return _candidate(features, rows, True, model, choices, max_points)
 
 
-def lasso(features, rows, max_points=10) -> Candidate:
+def lasso(features, rows, max_points=None) -> Candidate:
     model = LinearRegression(elasticNetParam=1.0, standardization=False)
     choices = {model.regParam: log_steps(-4, 4, 20), model.fitIntercept: [True, False]}
     return _candidate(features, rows, True, model, choices, max_points)
 
 
-def ridge(features, rows, max_points=10) -> Candidate:
+def ridge(features, rows, max_points=None) -> Candidate:
     model = LinearRegression(elasticNetParam=0.0, standardization=False)
     choices = {
         model.regParam: [alpha / rows for alpha in log_steps(-4, 4, 20)],
@@ -146,22 +161,23 @@ def ridge(features, rows, max_points=10) -> Candidate:
     return _candidate(features, rows, True, model, choices, max_points)
 
 
-def forest_regression(features, rows, max_points=10) -> Candidate:
+def forest_regression(features, rows, max_points=None) -> Candidate:
     model = RandomForestRegressor(featureSubsetStrategy="all", seed=SEED)
+    # The searched range goes on to 40, which MLlib refuses; its deepest trees stand for that.
     choices = {
-        model.maxDepth: [min(depth, MAX_DEPTH) for depth in [2, 4, 6, 8, 10, 20, 40]],
+        model.maxDepth: [2, 4, 6, 8, 10, 20, MAX_DEPTH],
         model.numTrees: [20, 40, 50, 60, 70, 80, 100, 300],
     }
     return _candidate(features, rows, True, model, choices, max_points)
 
 
-def gradient_boosting(features, rows, max_points=10) -> Candidate:
+def gradient_boosting(features, rows, max_points=None) -> Candidate:
     model = GBTRegressor(lossType="absolute", seed=SEED)
     choices = {model.stepSize: [0.1], model.maxIter: [100]}
     return _candidate(features, rows, True, model, choices, max_points)
 
 
-def boosted_regression(features, rows, max_points=10) -> Candidate:
+def boosted_regression(features, rows, max_points=None) -> Candidate:
     model = GBTRegressor(seed=SEED)
     choices = {
         model.stepSize: [0.01, 0.03, 0.05, 0.07],

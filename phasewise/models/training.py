@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +32,12 @@ class Fitted:
     task: str
     model_type: str
     model: PipelineModel
-    cv_score: float
+    cv_score: float | None
     best: dict
     features: list[str]
     train: DataFrame
     test: DataFrame
+    left_out: int = 0
 
 
 def model_builder(task: str, model_type: str):
@@ -47,11 +48,11 @@ def model_builder(task: str, model_type: str):
 
 
 def model_input(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True) -> DataFrame:
-    """The matrix with split, fold and class weight, written once for all later passes.
+    """The matrix with split, fold and class weight, written for all later passes.
 
     Folds and weights are those of the training rows; test rows carry neutral values.
     """
-    split = materialise(prepare.with_split(matrix))
+    split = prepare.with_split(materialise(matrix, "matrix"))
     train = split.filter("split = 'train'")
     train = prepare.with_folds(train, folds, stratified)
     if stratified:
@@ -59,51 +60,69 @@ def model_input(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True)
     else:
         train = train.withColumn("weight", F.lit(1.0))
     test = split.filter("split = 'test'").withColumns({"fold": F.lit(0), "weight": F.lit(1.0)})
-    return materialise(train.unionByName(test))
+    return materialise(train.unionByName(test), "model-input")
 
 
 def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
-        max_points: int | None = 10, parallelism: int = 4,
-        fixed: dict | None = None) -> Fitted:
-    """Search the grid by cross-validation and refit the best point on all training rows.
+        max_points: int | None = None, parallelism: int = 4,
+        point: dict | None = None) -> Fitted:
+    """Search the whole grid by cross-validation and refit the best point on all training rows.
 
-    ``fixed`` maps names of searched parameters to values to use instead of the search.
+    ``max_points`` searches a seeded sample of the grid instead. ``point`` names parameters
+    and their values and skips the search; then there is no ``cv_score``.
     """
-    build = model_builder(task, model_type)
-    classes = TASKS[task]
+    known = model_builder(task, model_type)
     train = data.filter("split = 'train'")
     test = data.filter("split = 'test'")
     features = prepare.feature_names(data)
-    rows = train.count()
-    arguments = {"classes": classes} if classes else {}
-    candidate = build(features, rows, max_points=max_points, **arguments)
-    fixed = fixed or {}
-    grid = []
-    for point in candidate.grid:
-        point = {param: fixed.get(param.name, value) for param, value in point.items()}
-        if point not in grid:
-            grid.append(point)
-    if classes:
-        evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
+    arguments = {"classes": TASKS[task]} if TASKS[task] else {}
+
+    def build(rows: int):
+        return known(features, rows, max_points=max_points, **arguments)
+
+    # Penalties follow the number of rows fitted on, that of the fold in the search.
+    candidate = build(train.count())
+    if point is None:
+        means = _search(train, build, bool(TASKS[task]), folds, parallelism)
+        best = max(range(len(means)), key=means.__getitem__)
+        chosen, cv_score = candidate.grid[best], means[best]
     else:
-        evaluator = RegressionEvaluator(metricName="r2")
-    search = CrossValidator(
-        estimator=candidate.pipeline,
-        estimatorParamMaps=grid,
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    found = search.fit(train)
-    best = max(range(len(found.avgMetrics)), key=found.avgMetrics.__getitem__)
-    chosen = {param.name: value for param, value in grid[best].items()}
+        chosen, cv_score = candidate.point(point), None
+    preparation = candidate.preparation.fit(train)
+    model = candidate.estimator.fit(preparation.transform(train), chosen)
     return Fitted(
-        task, model_type, found.bestModel, float(found.avgMetrics[best]), chosen, features,
-        train, test,
+        task, model_type, PipelineModel([*preparation.stages, model]), cv_score,
+        {param.name: value for param, value in chosen.items()}, features, train, test,
+        candidate.left_out,
     )
 
 
+def _search(train: DataFrame, build, classify: bool, folds: int, parallelism: int) -> list[float]:
+    """Mean score of each grid point over the folds; features are prepared once per fold."""
+    if classify:
+        evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
+    else:
+        evaluator = RegressionEvaluator(metricName="r2")
+    scores = []
+    for fold in range(folds):
+        rest = train.filter(F.col("fold") != fold)
+        candidate = build(rest.count())
+        preparation = candidate.preparation.fit(rest)
+        kept = ["features", "label", "weight"]
+        fitted_on = preparation.transform(rest).select(*kept).persist()
+        held = preparation.transform(train.filter(F.col("fold") == fold)).select(*kept).persist()
+
+        def one(chosen: dict) -> float:
+            model = candidate.estimator.fit(fitted_on, chosen)
+            return evaluator.evaluate(model.transform(held))
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores.append(list(pool.map(one, candidate.grid)))
+        fitted_on.unpersist()
+        held.unpersist()
+    return [sum(column) / folds for column in zip(*scores)]
+
+
 def predict(fitted: Fitted, rows: DataFrame | None = None) -> DataFrame:
     """Predictions with one probability per class; regressions have none.
 
@@ -143,7 +162,8 @@ def score(fitted: Fitted) -> DataFrame:
         naive = []
     for extra in naive:
         table = table.withColumn(extra.columns[0], extra.scalar())
-    table = table.withColumn("cv_score", F.lit(fitted.cv_score))
+    if fitted.cv_score is not None:
+        table = table.withColumn("cv_score", F.lit(fitted.cv_score))
     rows = F.array(
         *[
             F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
@@ -167,3 +187,14 @@ def odds_coefficients(fitted: Fitted) -> DataFrame:
     return spark.createDataFrame(odds, "feature string, coefficient double").select(
         "feature", F.exp("coefficient").alias("odds")
     )
+
+
+def log_rows(fitted: Fitted) -> DataFrame:
+    """The scores of a model, and for a logistic one the odds of each feature."""
+    rows = score(fitted)
+    if fitted.model_type != "logistic_regression":
+        return rows
+    odds = odds_coefficients(fitted).select(
+        F.lit(fitted.task).alias("task"), F.lit(fitted.model_type).alias("model"),
+        F.concat(F.lit("odds "), "feature").alias("metric"), F.col("odds").alias("value"))
+    return rows.unionByName(odds)

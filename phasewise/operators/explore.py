@@ -120,14 +120,16 @@ def class_balance(binned: DataFrame) -> DataFrame:
 def approval_product(scores: DataFrame, relative_to: str) -> DataFrame:
     """Scores of single phases to a score from Phase I to approval, and its lift.
 
-    ``scores`` has task, phase, kind (``naive`` or ``model``) and score. The lift is the
-    gain of the model over the naive score, relative to the score of the given kind.
+    ``scores`` has task, phase, kind (``naive``, ``model`` or ``historical``) and score. The
+    lift is the gain of the model over the naive score, relative to the score of the given
+    kind. A kind without scores has a null product.
     """
     def product(kind: str) -> Column:
         return F.product(F.when(F.col("kind") == kind, F.col("score")))
 
     totals = scores.groupBy("task").agg(
-        product("naive").alias("naive"), product("model").alias("model")
+        product("naive").alias("naive"), product("model").alias("model"),
+        product("historical").alias("historical"),
     )
     lift = F.try_divide(F.col("model") - F.col("naive"), F.col(relative_to))
     return totals.withColumn("lift", lift).withColumn(

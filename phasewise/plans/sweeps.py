@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.constants import FOLDS, MODEL_PHASES
-from phasewise.models.training import MATRICES, fit, model_builder, model_input, score
+from phasewise.models.training import MATRICES, fit, log_rows, model_builder, model_input
 from phasewise.sources.readers import read_phase_table
 from phasewise.sources.sinks import append_scores, union_all
 
 
 def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
           phases: list[str] = MODEL_PHASES, score_path: str | None = None,
-          folds: int = FOLDS, max_points: int | None = 10, parallelism: int = 4) -> DataFrame:
+          folds: int = FOLDS, max_points: int | None = None, parallelism: int = 4) -> DataFrame:
     """Fit every model on every phase; one row per phase, model and metric.
 
+    The whole grid is searched unless ``max_points`` asks for a sample; the number of points
+    a sample leaves out stands next to the scores. Odds of logistic models are metrics, too.
+
     The model input of a phase is prepared once for all models. With a score path, each
     model's scores are appended to the log as soon as they are known.
     """
@@ -27,9 +30,11 @@ def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
         data = model_input(matrix, folds, stratified=task != "length")
         for model_type in models:
             fitted = fit(data, task, model_type, folds, max_points, parallelism)
-            scores = score(fitted).withColumn("phase", F.lit(phase)).withColumn(
-                "parameters", F.lit(str(fitted.best))
-            )
+            scores = log_rows(fitted).withColumns({
+                "phase": F.lit(phase),
+                "parameters": F.lit(str(fitted.best)),
+                "points_left_out": F.lit(fitted.left_out),
+            })
             if score_path is not None:
                 append_scores(scores.withColumn("scored_at", F.current_timestamp()), score_path)
             results.append(scores)

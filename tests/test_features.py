@@ -2,6 +2,7 @@
 
 import pytest
 
+from phasewise.constants import PHASES
 from phasewise.operators import clean, expand, features
 from phasewise.operators.phase_tables import phase_table
 from phasewise.plans import feature_extraction as extraction
@@ -167,3 +168,30 @@ def test_clean_pushes_the_null_filter_to_the_scan(spark, table, tmp_path):
     assert "IsNotNull(primary_drugs)" in text
     read = text[text.index("ReadSchema"):].split("\n")[0]
     assert "organisations" not in read and "trial_history" not in read
+
+
+def test_any_sign_in_designs_statuses_and_phases(spark):
+    rows = [trial("A", "it's", trial_design="open`x", trial_status="o'k`"),
+            trial("A", "Phase I", trial_design="open`x", trial_status="o'k`")]
+    phases = ["it's", "Phase I"]
+    for staged in (False, True):
+        row = extraction.feature_table(
+            trials(spark, rows), phases=[*PHASES, "it's"], staged=staged).first()
+        for phase in phases:
+            assert row[f"{phase} open`x"] == 1 and row[f"{phase} o'k`"] == 1
+
+
+def test_each_date_cell_is_read_once(spark):
+    clean_rows = clean.load_clean(trials(spark, [trial("A", "Phase I")]).select(
+        "primary_drugs", "trial_initiation_date", "trial_end_date"))
+    plan = clean_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 and "regexp_extract" not in plan
+
+
+def test_long_counts(spark):
+    exploded = extraction.trial_drugs(trials(spark, [
+        trial("A, B", "Phase I", trial_design="open, open", trial_status="Completed")]))
+    designs = features.design_counts_long(exploded).collect()
+    assert {(r["drug"], r["phase"], r["design"], r["n"]) for r in designs} == {
+        ("A", "Phase I", "open", 2), ("B", "Phase I", "open", 2)}
+    assert features.status_counts_long(exploded).count() == 2

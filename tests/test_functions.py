@@ -29,6 +29,12 @@ def test_dates(spark):
         ("31 Feb 2015", None),
         ("Foo 2015", None),
         ("  07 Mar 2011  ", dt.date(2011, 3, 7)),
+        ("Jan 12 2015", dt.date(2015, 1, 12)),
+        ("2015 Jan", dt.date(2015, 1, 1)),
+        ("12Jan2015", dt.date(2015, 1, 12)),
+        ("12 Jan 15 (first)", dt.date(2015, 1, 12)),
+        ("12 Jan 75", dt.date(1975, 1, 12)),
+        ("\u00e4 2015", None),
         (None, None),
     ]
     got = values(spark, [(c,) for c, _ in cases], "c string", dates.parse_date(F.col("c")))

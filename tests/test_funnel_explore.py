@@ -108,3 +108,24 @@ def test_approval_product_gives_the_published_totals(spark, task, relative_to, n
     assert got["model"] == pytest.approx(model, abs=1e-4)
     assert got["lift"] == pytest.approx(lift, abs=1e-3)
     assert got["value_billions"] == pytest.approx(value, abs=2e-3)
+
+
+def test_funnel_keeps_drugs_that_match_nothing(spark):
+    rows = [trial(d, p) for d in ("Insulin (human)", "Fine") for p in ("Phase I", "Phase II")]
+    found = funnel.drug_funnel(clean.load_clean(trials(spark, rows + [trial("C++", "Phase I")])))
+    drugs = by_drug(found)
+    # "C++" is a possessive pattern in one engine and none in the other.
+    assert {"Insulin (human)", "Fine"} <= set(drugs)
+    assert drugs["Insulin (human)"]["phase_1_success"] is False
+    assert drugs["Insulin (human)"]["phase_1_start"] is None
+    assert drugs["Fine"]["phase_1_success"] is True
+    rates = funnel.funnel_rates(found).first()
+    assert rates["drugs"] == len(drugs)
+    assert rates["phase_1_rate"] == pytest.approx(1 / len(drugs))
+
+
+def test_historical_product(spark):
+    rows = [("pass", p, k, s) for p in ("I", "II")
+            for k, s in (("naive", 0.5), ("model", 0.6), ("historical", 0.4))]
+    scores = spark.createDataFrame(rows, "task string, phase string, kind string, score double")
+    assert explore.approval_product(scores, "model").first()["historical"] == pytest.approx(0.16)

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phasewise.__main__ import main
-from phasewise.models import training
+from phasewise.__main__ import main, parse
+from phasewise.models import estimators, training
 from phasewise.models.estimators import CLASSIFIERS, REGRESSORS, sample_grid
 from phasewise.operators import metrics, prepare
 from phasewise.plans import sweeps
@@ -152,7 +152,13 @@ def test_grid_samples_are_seeded_and_distinct():
     assert all(p["a"] in choices["a"] and p["b"] in choices["b"] for p in points)
 
 
-SMALL = {"maxIter": 2, "numTrees": 3, "maxDepth": 3}
+# Small models of each kind; a model without a grid has nothing to set.
+SMALL = {
+    "logistic_regression": {"regParam": 0.1}, "lasso": {"regParam": 0.1}, "ridge": {"regParam": 0.1},
+    "random_forest": {"numTrees": 3, "maxDepth": 3}, "rfregression": {"numTrees": 3, "maxDepth": 3},
+    "xgboost": {"maxIter": 2, "maxDepth": 3}, "xgbreg": {"maxIter": 2, "maxDepth": 3},
+    "gbreg": {"maxIter": 2},
+}
 
 
 @pytest.fixture(scope="module")
@@ -169,7 +175,8 @@ def inputs(spark):
     [(t, m) for t in ("pass", "time") for m in CLASSIFIERS] + [("length", m) for m in REGRESSORS],
 )
 def test_models(inputs, task, model_type):
-    fitted = training.fit(inputs[task], task, model_type, 2, 1, fixed=SMALL)
+    fitted = training.fit(inputs[task], task, model_type, point=SMALL.get(model_type, {}))
+    assert fitted.cv_score is None and fitted.best == SMALL.get(model_type, {})
     rows = training.predict(fitted).collect()
     assert len(rows) == 24
     classes = training.TASKS[task]
@@ -226,3 +233,22 @@ def test_command_line_extracts_and_fits(spark, tmp_path):
     logged = spark.read.parquet(scores)
     assert {r[0] for r in logged.select("phase").distinct().collect()} == {
         "Phase I", "Phase II", "Phase III"}
+
+
+def test_whole_grid_unless_a_sample_is_asked_for():
+    whole = estimators.logistic_regression(["a"], 10, 2)
+    some = estimators.logistic_regression(["a"], 10, 2, max_points=4)
+    assert len(whole.grid) == 30 and whole.left_out == 0
+    assert len(some.grid) == 4 and some.left_out == 26
+    assert parse(["fit", "p", "s"]).sample_points is None
+
+
+def test_odds_are_logged(spark, tmp_path):
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    sinks.write_phase_tables(phase_rows(spark), store, [PHASE])
+    sweeps.pass_sweep(spark, store, ("logistic_regression",), phases=[PHASE], folds=2,
+                      max_points=2, score_path=log)
+    rows = spark.read.parquet(log).collect()
+    odds = [r for r in rows if r["metric"].startswith("odds ")]
+    assert odds and all(r["value"] > 0 for r in odds)
+    assert {r["points_left_out"] for r in rows} == {28}

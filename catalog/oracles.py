@@ -192,6 +192,14 @@ def _matrix(kind: str, phase: str) -> str:
     return f"matrix as (select drug, {cells}, {label} as label from features),"
 
 
+def _short_phase_sql(phase: str) -> str:
+    """A phase table with names that don't hold the phase."""
+    rounded, others = _phase_columns(phase)
+    cells = [f'round("{n}", 6) "{s}"' for n, s in zip(rounded, _short(phase, rounded))]
+    cells += [f'"{n}" "{s}"' for n, s in zip(others, _short(phase, others))]
+    return _sql(f"select drug, {', '.join(cells)} from features")
+
+
 def _each_phase(sql_of) -> str:
     """The same query for every modelled phase, with the phase as a column."""
     return " union all by name ".join(
@@ -450,7 +458,7 @@ def all_oracles() -> dict[str, str]:
         "right_join_lengths": _sql(f"""select wide.drug, early.orgs "{ORGANISATION_COUNT}", {_columns([f'{p} trial length' for p in PHASES])} from (
           select drug, max(coalesce(kept.n, 0)) orgs from exploded left join kept on organisations = cell where phase in ('Phase I', 'Phase II', 'Phase I/II') group by drug) early
           right join wide on early.drug = wide.drug"""),
-        "phase_store_round_trip": _phase_sql("Phase III"),
+        "phase_store_round_trip": _each_phase(_short_phase_sql),
         "drug_match_join": _sql("select drug, primary_drugs from mentions", _FUNNEL, cleaned),
         "drug_match_literal": _sql("select drug, primary_drugs from mentions", _FUNNEL, cleaned),
         "copresence_flags": _sql(f"select drug, {_flags()} from exploded group by drug", parts=cleaned),

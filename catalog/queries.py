@@ -346,7 +346,12 @@ def csv_round_trip(spark, sf_dir):
 def phase_store_round_trip(spark, sf_dir):
     path = fresh_path(spark, "phase-tables")
     sinks.write_phase_tables(features_of(spark, sf_dir), path)
-    return tidy(readers.read_phase_table(spark, path, "Phase III"))
+    tables = []
+    for phase in MODEL_PHASES:
+        stored = readers.read_phase_table(spark, path, phase)
+        short = stored.toDF(*[name.removeprefix(f"{phase} ") for name in stored.columns])
+        tables.append(short.withColumn("phase", F.lit(phase)))
+    return tidy(sinks.union_all(tables))
 
 
 # Funnel

@@ -114,7 +114,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trials with all columns of the source table; those not derived are null."""
-    return conform(trials(spark, sf_dir), TRIALS)
+    rows = trials(spark, sf_dir).join(histories(spark, sf_dir), "trial_id", "left")
+    return conform(rows, TRIALS)
 
 
 def drugs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,12 +393,11 @@ def all_oracles() -> dict[str, str]:
         **{n: n for n in (
             "organisations", "trial_design", "phase_of_trial", "planned_subject_number",
             "trial_centre_details", "trial_initiation_date", "trial_end_date", "trial_status",
-            "primary_drugs",
+            "primary_drugs", "trial_history",
         )},
         **{n: _NULL_TEXT for n in (
             "mechanism_of_action", "drug_class_therapeutic_effect", "drug_class_chemical",
-            "indication", "location", "subject_age", "lead_centre", "trial_history",
-            "diseases_treated",
+            "indication", "location", "subject_age", "lead_centre", "diseases_treated",
         )},
     }
     profile = ["trial_id", "primary_drugs", "phase_of_trial", "trial_initiation_date",
@@ -420,7 +419,9 @@ def all_oracles() -> dict[str, str]:
           case when not contains(trial_initiation_date, 'planned') then {start} end::varchar trial_start,
           case when not contains(trial_end_date, 'planned') then {end} end::varchar trial_end from trials""", parts=trials),
         "planned_filter": _sql("select trial_id, trial_initiation_date, trial_end_date from settled", parts=cleaned),
-        "trial_columns": _sql("select " + ", ".join(f"{e} {n}" for n, e in source_columns.items()) + " from trials", parts=trials),
+        "trial_columns": _sql("select " + ", ".join(f"{e} {n}" for n, e in source_columns.items()) + """ from trials
+          left join (select trial_id of_trial, string_agg(entry, ';' order by entry) trial_history from entries group by trial_id) h
+          on trial_id = of_trial""", parts=trials + _HISTORY),
         "phase_filter": _sql("""select trial_id, 'II' kind from trials where phase_of_trial = 'Phase II'
           union all select trial_id, 'III' from trials where phase_of_trial = 'Phase III'
           union all select trial_id, 'I-III' from trials where phase_of_trial in ('Phase I', 'Phase II', 'Phase III')""", parts=trials),

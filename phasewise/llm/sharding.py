@@ -10,10 +10,12 @@ operations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasewise.llm.staging import stage
+from phasewise.llm.staging import carried, stage
 
 LIMIT_BYTES = 1 << 20
 HASH_BITS = 60
@@ -51,6 +53,38 @@ def _directory(rows: DataFrame, seen: int, limit: int) -> DataFrame:
                  "shard-directory")
 
 
+def _hashed(docs: DataFrame):
+    """Columns bytes and hash of a row; the hash is over id and text."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    doc_id = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
+    identity = F.concat(doc_id, F.lit("\x1f"), text)
+    digits = F.substring(F.md5(identity.cast("binary")), 1, HASH_BITS // 4)
+    return (F.octet_length(text).cast("long").alias("bytes"),
+            F.conv(digits, 16, 10).cast("long").alias("hash"))
+
+
+def _digits(depth):
+    return F.lpad(F.bin(_prefix(depth)), F.col(depth), F.lit("0"))
+
+
+def _rounds(rows: DataFrame, limit: int) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """Per round: the bits seen, its directory, and the rows in it with their entries' columns.
+
+    ``rows`` has bytes and hash; directories that are small come with a broadcast hint.
+    """
+    columns, seen = rows.columns, 0
+    while True:
+        end = min(seen + ROUND_BITS, HASH_BITS)
+        directory = _directory(rows, seen, limit)
+        known = F.broadcast(directory) if directory.count() <= BROADCAST_ENTRIES else directory
+        placed = rows.withColumn("entry", _prefix(end)).join(known, "entry")
+        yield end, known, placed
+        if end == HASH_BITS or directory.filter("depth is null").isEmpty():
+            return
+        rows = stage(placed.filter("depth is null").select(*columns), "shard-rest")
+        seen = end
+
+
 def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the shard it belongs to.
 
@@ -61,37 +95,32 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     and text. Null doc_ids are hashed as empty ids. Other columns are not read. An empty
     table has no shards.
     """
-    text = F.coalesce("text", F.lit(""))
-    identity = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x1f"), text)
-    digits = F.substring(F.md5(identity.cast("binary")), 1, HASH_BITS // 4)
-    rows = stage(docs.select("doc_id", F.octet_length(text).cast("long").alias("bytes"),
-                             F.conv(digits, 16, 10).cast("long").alias("hash")), "shard-rows")
-    settled, seen = [], 0
-    while True:
-        end = min(seen + ROUND_BITS, HASH_BITS)
-        directory = _directory(rows, seen, limit_bytes)
-        few = directory.count() <= BROADCAST_ENTRIES
-        placed = rows.withColumn("entry", _prefix(end)).join(
-            F.broadcast(directory) if few else directory, "entry")
-        done = placed.filter("depth is not null")
-        digits = F.lpad(F.bin(_prefix("depth")), F.col("depth"), F.lit("0"))
-        settled.append(done.select("doc_id", digits.alias("shard"), "depth", "shard_bytes",
-                                   "shard_docs"))
-        if end == HASH_BITS or directory.filter("depth is null").isEmpty():
-            break
-        rows = stage(placed.filter("depth is null").select("doc_id", "bytes", "hash"), "shard-rest")
-        seen = end
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
+    rows = stage(docs.select("doc_id", *_hashed(docs)), "shard-rows")
+    out = None
+    for _, _, placed in _rounds(rows, limit_bytes):
+        done = placed.filter("depth is not null").select(
+            "doc_id", _digits("depth").alias("shard"), "depth", "shard_bytes", "shard_docs")
+        out = done if out is None else out.unionByName(done)
     return out
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
-    """Write documents as Parquet folders, one per shard, each by one task.
+    """Write all rows of documents as Parquet folders, one per shard, each by one task.
 
-    ``docs`` has unique doc_ids. The folder of the only shard is named by a null value.
+    Every row is hashed where it is read and looks its shard up in the directories, so rows
+    without doc_id and rows that repeat one are written once, to the shard that
+    ``assign_shards`` gives them. All columns are written; none may be named shard. The
+    folder of the only shard is named by a null value.
     """
-    shards = assign_shards(docs, limit_bytes).select("doc_id", "shard")
-    placed = docs.join(shards, "doc_id").repartition("shard")
-    placed.write.partitionBy("shard").parquet(path)
+    rows = stage(docs.select(*_hashed(docs)), "shard-rows")
+    directories = [(end, known) for end, known, _ in _rounds(rows, limit_bytes)]
+    placed = docs.select(carried(docs), _hashed(docs)[1])
+    depths = []
+    for end, known in directories:
+        depths.append(f"depth_{end}")
+        leaf = known.select(F.col("entry").alias(f"entry_{end}"), F.col("depth").alias(depths[-1]))
+        placed = placed.join(leaf, _prefix(end) == F.col(f"entry_{end}"), "left")
+    # A later directory has entries for what the earlier ones send on only.
+    placed = placed.withColumn("depth", F.coalesce(*depths))
+    placed = placed.select("carried.*", _digits("depth").alias("shard"))
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -52,3 +52,23 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter(r["doc_id"] for r in back.collect()) == Counter(i for i, _ in rows)
     assert back.select("shard").distinct().count() > 1
+
+
+@pytest.mark.parametrize("limit,bits", [(1 << 20, 8), (700, 8), (300, 2)])
+def test_written_shards_hold_every_row_once(spark, monkeypatch, tmp_path, limit, bits):
+    monkeypatch.setattr(sharding, "ROUND_BITS", bits)
+    rows = texts() + [(500, "equal rows " * 40)] * 30 + [(None, "no id either")] * 3
+    docs = documents(spark, rows)
+    sharding.write_shards(docs, str(tmp_path / "out"), limit)
+    back = Counter()
+    for folder in (tmp_path / "out").glob("shard=*"):
+        shard = folder.name.removeprefix("shard=").replace("__HIVE_DEFAULT_PARTITION__", "")
+        held = spark.read.parquet(str(folder))
+        assert held.columns == docs.columns
+        back.update((r["doc_id"], r["text"], shard) for r in held.collect())
+    expected = shards([(i, t or "") for i, t in rows], limit)
+    assert Counter(r[:2] for r in back.elements()) == Counter(rows)
+    placed = Counter()
+    for (i, shard, *_), n in expected.items():
+        placed[i, shard] += n
+    assert Counter((i, s) for i, _, s in back.elements()) == placed

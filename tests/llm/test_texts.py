@@ -223,6 +223,28 @@ def test_jaccard_of_empty(spark):
     assert rows_of(found, "doc_id", "component_id") == Counter([(1, 1), (2, 2), (None, None)])
 
 
+def link_counts(rows, size, num, den):
+    sets = [(i, shingles(t, size)) for i, t in rows]
+    live = [s for i, s in sets if s and i is not None]
+    return Counter((i, len(s), None if i is None else sum(
+        len(s & x) * den >= num * len(s | x) for x in live) - 1 if s else 0) for i, s in sets)
+
+
+@pytest.mark.parametrize("size,threshold,block", [
+    (4, (85, 100), 1000), (4, (85, 100), 3), (1, (7, 10), 1000), (1, (7, 10), 2)])
+def test_jaccard_links(spark, monkeypatch, size, threshold, block):
+    monkeypatch.setattr(jaccard_join, "COUNT_SETS", block)
+    monkeypatch.setattr(jaccard_join, "SEND_BYTES", 5000)
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join(base[:i] + ["edit"] + base[i + 1 :]) for i in range(0, 200, 20)]
+    rows = texts() + [(200 + i, t) for i, t in enumerate(near)]
+    rows += [(300 + i, near[0]) for i in range(9)] + [(400, near[1])] * 3 + [(None, near[2])]
+    found = jaccard_join.jaccard_components(documents(spark, rows), size, threshold)
+    expected = link_counts(rows, size, *threshold)
+    assert rows_of(found, "doc_id", "n_shingles", "n_links") == expected
+    assert max(k[2] or 0 for k in expected) > 20
+
+
 def test_linked_sets_share_a_tile():
     draw = np.random.Generator(np.random.PCG64(3))
     for num, den in ((85, 100), (1, 2)):

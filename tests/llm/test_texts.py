@@ -245,6 +245,23 @@ def test_jaccard_links(spark, monkeypatch, size, threshold, block):
     assert max(k[2] or 0 for k in expected) > 20
 
 
+def test_a_repeated_row_goes_to_its_group_once_a_task(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base))] * 500 + [(2, " ".join(base[:-1] + ["edit"]))]
+    most, link_groups = [], jaccard_join._link_groups
+
+    def spy(sent, threshold):
+        most.append(max(r["count"] for r in sent.groupBy("group", "label").count().collect()))
+        return link_groups(sent, threshold)
+
+    monkeypatch.setattr(jaccard_join, "_link_groups", spy)
+    found = jaccard_join.jaccard_components(documents(spark, rows))
+    assert most and max(most) <= 3  # the table has three parts
+    expected = link_counts(rows, 4, 85, 100)
+    assert rows_of(found, "doc_id", "n_shingles", "n_links") == expected
+    assert {r["component_id"] for r in found.collect()} == {1}
+
+
 def test_linked_sets_share_a_tile():
     draw = np.random.Generator(np.random.PCG64(3))
     for num, den in ((85, 100), (1, 2)):

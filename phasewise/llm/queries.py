@@ -16,6 +16,7 @@ from phasewise.llm import (
     language_id,
     line_dedup,
     preferences,
+    repair,
     sharding,
     substring_dedup,
     toxicity,
@@ -90,6 +91,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def _shipped(run: Callable[[SparkSession, str], DataFrame]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)

@@ -16,6 +16,7 @@ from phasewise.llm import (
     language_id,
     line_dedup,
     preferences,
+    quality,
     repair,
     sharding,
     substring_dedup,
@@ -95,6 +96,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def _shipped(run: Callable[[SparkSession, str], DataFrame]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)

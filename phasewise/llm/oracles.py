@@ -90,9 +90,44 @@ from leaves join buckets on d = depth and prefix = hash >> (60 - depth)
 """
 
 
+_TERMS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+
+LEXICAL_SEARCH = f"""
+with docs as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_TERMS}) as ts
+  from documents),
+counted as (select rid, doc_id, len(ts)::bigint as n, ts from docs where len(ts) > 0),
+totals as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from counted),
+tf as (
+  select rid, term, count(*)::bigint as tf from (select rid, unnest(ts) as term from counted)
+  group by rid, term),
+df as (select term, count(*)::bigint as df from tf group by term),
+weights as (
+  select term, floor(1000 * ln((2.0 * big_n + 2) / (2.0 * df + 1)))::bigint as w
+  from df, totals),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+    {_TERMS})) as term
+  from benchmark),
+norms as (select rid, doc_id, 10 + (90 * n * big_n) // big_l as m from counted, totals),
+scored as (
+  select a.item_id, d.rid, d.doc_id,
+    sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * d.m)))::bigint as score
+  from asked a join weights w using (term) join tf t using (term) join norms d using (rid)
+  group by a.item_id, d.rid, d.doc_id),
+ranked as (
+  select item_id, doc_id, score, row_number() over (partition by item_id
+    order by score desc, doc_id asc nulls last, rid) as rank
+  from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op4_preferences": PREFERENCES,
         "op5_line_dedup": LINE_DEDUP,
         "op7_sharding": SHARDING,
+        "op13_lexical_search": LEXICAL_SEARCH,
     }

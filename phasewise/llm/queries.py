@@ -14,6 +14,7 @@ from phasewise.llm import (
     hashing_search,
     jaccard_join,
     language_id,
+    lexical_search,
     line_dedup,
     preferences,
     quality,
@@ -100,6 +101,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _shipped(run: Callable[[SparkSession, str], DataFrame]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)

@@ -1,179 +1,257 @@
-"""Which drug-cell texts mention which drug names.
+"""Which drug-cell texts mention which drug names: a hashed posting index.
 
 The condition is "text contains name", ignoring case, with the name read as a regular
-expression or literally. Instead of testing every name against every text, both sides are
-indexed by short letter sequences ("grams"): a text can only match a name if it holds a
-gram the name cannot do without, so candidates come from an equality join, and the real
-condition is tested on candidates only.
+expression (Python's ``re.search``) or literally. Instead of testing every name against
+every text, texts are indexed once by short letter sequences ("grams"):
+
+- Each distinct text gets an id. Postings (gram hash, text id) are written once, for the
+  grams that some name needs; no text travels through an exchange but in the final fetch.
+- Every name has runs of letters of which each match holds one (one run per alternative).
+  A run's candidates are the postings of its rarest gram; when that gram is heavy (more
+  postings than ``HEAVY``), the texts must also hold the run's next-rarest gram, so the
+  candidates are the intersection of two posting lists.
+- Postings of a gram with more than ``SPLIT`` entries are dealt over several salts by text
+  id, and the names asking for that gram go to every salt, so no task holds a whole heavy
+  gram.
+- Candidates are verified in the JVM: literal names with ``contains`` on lower-cased text,
+  patterns with ``rlike`` (flags i, U and d: case, Unicode classes, only ``\\n`` ends a
+  line), for the patterns whose syntax reads alike in both engines (``portable``). Other
+  valid patterns, rare in drug names, are verified with Python's ``re`` on their candidates.
+
+Runs come from the parse tree of the pattern, so optional parts such as ``(ab)?`` in
+``(ab)?c`` do not hide the compulsory ``c``. A pattern that can match the empty string
+without anchors matches every text and needs no test. Only patterns without any compulsory
+letter, such as ``[0-9]+``, are tested against every text, through a partitioned join.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as _sre  # the standard library's own reader of patterns
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phasewise.session import materialise
+
 # Longest letter sequence used as index; longer ones are rarer but repeat more text.
 GRAM = 8
+#: Postings beyond which a gram takes a second gram along, and postings a salt holds.
+HEAVY = 1 << 14
+SPLIT = 1 << 16
 
 _SPECIAL = r"[\\.^$*+?{}\[\]|()]"
-# Groups that may be skipped or that only look around: their letters are not compulsory.
-_SKIPPABLE = r"\(\?|\)[?*{]"
-# What a letter run cannot cross, in this order: escapes, classes, optional or counted
-# characters, and the remaining special characters.
-_BREAKS = [r"\\.", r"\[\^?\]?[^\]]*\]", r".?[?*]", r".?\{[^}]*\}?", r"[.^$()+\]\[}\\]"]
-
-
-def _grams(text: Column, size: Column) -> Column:
-    """The distinct substrings of the given size; empty for shorter texts."""
-    last = F.length(text) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
-
-
-def _longest(runs: Column) -> Column:
-    return F.aggregate(
-        runs,
-        F.lit(""),
-        lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best),
-    )
-
-
-def is_special(name: Column) -> Column:
-    return F.rlike(name, F.lit(_SPECIAL))
-
-
-def compulsory_texts(name: Column, regex: bool) -> Column:
-    """Lower-case letter runs of which every match contains at least one.
-
-    A plain name is its own run. A pattern has one run per alternative: the longest that
-    holds no special character. An empty run says that any text may match.
-    """
-    plain = F.lower(name)
-    if not regex:
-        return F.array(plain)
-    bare = plain
-    for position, broken in enumerate(_BREAKS):
-        bare = F.regexp_replace(bare, broken, "\n")
-        if position == 1:
-            skippable = F.rlike(bare, F.lit(_SKIPPABLE))
-    runs = F.transform(F.split(bare, r"\|"), lambda part: _longest(F.split(part, "\n")))
-    return (
-        F.when(~is_special(name), F.array(plain))
-        .when(skippable, F.array(F.lit("")))
-        .otherwise(F.when(F.array_contains(runs, ""), F.array(F.lit(""))).otherwise(runs))
-    )
-
-
-# The two Python tests are defined inside functions, so that they travel to the executors
-# with the plan and this package need not be installed there.
-
-
-def _is_pattern(name: str) -> Column:
-    @F.pandas_udf(T.BooleanType())
-    def compiles(names: pd.Series) -> pd.Series:
-        def test(pattern: str) -> bool:
-            try:
-                re.compile(pattern)
-            except re.error:
-                return False
+# Syntax that Python and Java read alike: letters and digits, the usual operators,
+# classes without nesting or intersection, counted repeats, escaped punctuation and \d \w \b.
+_PORTABLE = re.compile(
+    r"(?:[^\\\[\]{}()]|\\[^A-Za-z0-9]|\\[dwDWbB]|\((?!\?)|\(\?:|\)"
+    r"|\[\^?(?:[^\]\[\\&]|\\[^A-Za-z0-9]|\\[dwDW])*\]|\{\d+(?:,\d*)?\})*")
+
+_ANALYSIS = T.StructType([
+    T.StructField("kind", T.StringType()),  # invalid, every (matches every text), runs, scan
+    T.StructField("runs", T.ArrayType(T.StringType())),
+    T.StructField("portable", T.BooleanType()),
+])
+
+
+def _runs_of(items) -> list[str] | None:
+    """Lower-case literal strings of which every match of ``items`` holds one; None if none."""
+    best: list[str] | None = None
+    run = ""
+
+    def better(found, held):
+        if found is None:
+            return held
+        if held is None:
+            return found
+        return found if min(map(len, found)) >= min(map(len, held)) else held
+
+    def close():
+        nonlocal run, best
+        if run:
+            best = better([run], best)
+        run = ""
+
+    for op, arg in _flat(items):
+        if op is _sre.LITERAL and arg < 128:
+            run += chr(arg).lower()
+            continue
+        close()
+        if op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT, _sre.POSSESSIVE_REPEAT) and arg[0] >= 1:
+            best = better(_runs_of(arg[2]), best)
+        elif op is _sre.BRANCH:
+            branches = [_runs_of(branch) for branch in arg[1]]
+            if all(b is not None for b in branches):
+                best = better(sorted({r for b in branches for r in b}), best)
+        elif op is _sre.SUBPATTERN:
+            best = better(_runs_of(arg[3]), best)
+        elif op is _sre.ATOMIC_GROUP:
+            best = better(_runs_of(arg), best)
+    close()
+    return best
+
+
+def _flat(items):
+    """Items with groups that hold neither alternatives nor flags inlined, so runs cross them."""
+    for op, arg in items:
+        if op is _sre.SUBPATTERN and not arg[1] and not arg[2] and not any(
+                o is _sre.BRANCH for o, _ in arg[3]):
+            yield from _flat(arg[3])
+        else:
+            yield op, arg
+
+
+def _anchored(items) -> bool:
+    """Whether a match depends on its place: anchors, look-arounds or back references."""
+    for op, arg in items:
+        if op in (_sre.AT, _sre.ASSERT, _sre.ASSERT_NOT, _sre.GROUPREF, _sre.GROUPREF_EXISTS):
             return True
-
-        return names.map(test).astype(bool)
-
-    return compiles(name)
-
-
-def _pattern_found(name: str, text: str) -> Column:
+        parts = [arg] if isinstance(arg, _sre.SubPattern) else (
+            list(arg) if isinstance(arg, (list, tuple)) else [])
+        for part in parts:
+            inner = part if isinstance(part, list) else [part]
+            if any(isinstance(p, _sre.SubPattern) and _anchored(p) for p in inner):
+                return True
+    return False
+
+
+def analyse(pattern: str) -> tuple[str, list[str], bool]:
+    """(kind, runs, portable) of a pattern read with ``re.IGNORECASE``."""
+    try:
+        parsed = _sre.parse(pattern, re.IGNORECASE)
+        re.compile(pattern, re.IGNORECASE)
+    except (re.error, RecursionError, OverflowError):
+        return "invalid", [], False
+    portable = _PORTABLE.fullmatch(pattern) is not None
+    if parsed.getwidth()[0] == 0 and not _anchored(parsed):
+        return "every", [], portable
+    runs = _runs_of(parsed)
+    return ("runs", runs, portable) if runs else ("scan", [], portable)
+
+
+def _analysed(name: Column) -> Column:
+    @F.pandas_udf(_ANALYSIS)
+    def run(names: pd.Series) -> pd.DataFrame:
+        rows = [analyse(n) for n in names]
+        return pd.DataFrame(rows, columns=["kind", "runs", "portable"])
+
+    return run(name)
+
+
+def _python_found(name: Column, text: Column) -> Column:
     @F.pandas_udf(T.BooleanType())
     def found(names: pd.Series, texts: pd.Series) -> pd.Series:
-        def test(pattern: str, cell: str) -> bool:
-            # re keeps recently compiled patterns, so repeated names are compiled once.
-            try:
-                return re.search(pattern, cell, re.IGNORECASE) is not None
-            except re.error:
-                return False
-
-        return pd.Series([test(n, t) for n, t in zip(names, texts)], dtype=bool)
+        return pd.Series([re.search(n, t, re.IGNORECASE) is not None
+                          for n, t in zip(names, texts)], dtype=bool)
 
     return found(name, text)
 
 
+def is_special(name: Column) -> Column:
+    return F.rlike(name, F.lit(_SPECIAL))
+
+
 def invalid_names(names: DataFrame) -> DataFrame:
     """Names that are not valid regular expressions and so cannot be matched."""
-    return names.filter(is_special(F.col("drug"))).filter(~_is_pattern("drug"))
+    special = names.filter(is_special(F.col("drug")))
+    return special.filter(_analysed(F.col("drug"))["kind"] == "invalid")
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct substrings of the given size; empty for shorter texts."""
+    last = F.length(text) - size + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
 
 
 def match_drugs(names: DataFrame, texts: DataFrame, regex: bool = True) -> DataFrame:
     """Pairs of ``drug`` and ``primary_drugs`` where the text mentions the drug.
 
-    Both inputs hold distinct, non-null strings and are read several times, so they should
-    be stored tables. Names without special characters stay in
-    the JVM; only real patterns are tested in Python, on their candidates. Invalid
-    patterns match nothing; ``invalid_names`` lists them.
+    Both inputs hold distinct strings; nulls take no part. Invalid patterns match nothing;
+    ``invalid_names`` lists them. The empty name, and patterns that match the empty string
+    anywhere, are paired with every text.
     """
-    special = is_special(F.col("drug")) if regex else F.lit(False)
-    indexed = names.select("drug", F.explode(compulsory_texts(F.col("drug"), regex)).alias("run"))
-    empty_name = F.col("drug") == ""
-    candidates = _candidates(indexed.filter("run <> ''"), texts)
-    contained = F.contains(F.lower("primary_drugs"), F.lower("drug"))
-    found = candidates.filter(~special & contained)
-    # The empty name is part of every text. Names are distinct, so it is one row at most.
-    has_empty = names.filter(empty_name).agg(F.count(F.lit(1)) > 0).scalar()
-    found = found.unionByName(
-        texts.filter(has_empty).select(F.lit("").alias("drug"), "primary_drugs")
-    )
-    if not regex:
-        return found
-    anywhere = indexed.filter("run = ''").filter(~empty_name).select("drug")
-    tested = candidates.filter(special).unionByName(_with_every_text(anywhere, texts))
-    tested = tested.filter(_pattern_found("drug", "primary_drugs"))
-    return found.unionByName(tested.distinct())
+    texts = materialise(texts.filter(F.col("primary_drugs").isNotNull()).select(
+        F.monotonically_increasing_id().alias("tid"), "primary_drugs"), "match-texts")
+    named = names.filter(F.col("drug").isNotNull()).select("drug")
+    if regex:
+        special = is_special(F.col("drug"))
+        plain = F.struct(F.when(F.col("drug") == "", "every").otherwise("runs").alias("kind"),
+                         F.array(F.lower("drug")).alias("runs"), F.lit(True).alias("portable"))
+        named = named.withColumn("a", F.when(special, _analysed(F.col("drug"))).otherwise(plain))
+    else:
+        named = named.withColumn("a", F.struct(
+            F.when(F.col("drug") == "", "every").otherwise("runs").alias("kind"),
+            F.array(F.lower("drug")).alias("runs"), F.lit(True).alias("portable")))
+    named = materialise(named.select("drug", "a.kind", "a.runs", "a.portable"), "match-names")
+
+    runs = named.filter("kind = 'runs'").select("drug", F.explode("runs").alias("run"))
+    candidates = _candidates(runs, texts).unionByName(
+        _every_text(named.filter("kind = 'scan'").select("drug"), texts)).distinct()
+    fetched = candidates.join(named.select("drug", "portable"), "drug").join(texts, "tid")
+    if regex:
+        jvm = F.expr("primary_drugs rlike concat('(?iUd)', drug)")
+        literal = F.contains(F.lower("primary_drugs"), F.lower("drug"))
+        checked = fetched.filter(~is_special(F.col("drug")) & literal).unionByName(
+            fetched.filter(is_special(F.col("drug")) & F.col("portable") & jvm)).unionByName(
+            fetched.filter(is_special(F.col("drug")) & ~F.col("portable"))
+            .filter(_python_found(F.col("drug"), F.col("primary_drugs"))))
+    else:
+        checked = fetched.filter(F.contains(F.lower("primary_drugs"), F.lower("drug")))
+    every = _paired_with_all(named.filter("kind = 'every'"), texts)
+    return checked.select("drug", "primary_drugs").unionByName(every)
 
 
 def _candidates(runs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts that hold the rarest gram of a name's run."""
+    """(drug, tid) of texts that hold the rarest gram of a run, and its next one if heavy."""
     size = F.least(F.lit(GRAM), F.length("run"))
     run_grams = runs.select("drug", "run", F.explode(_grams(F.col("run"), size)).alias("gram"))
-    # A run shorter than a full gram is its own gram: texts are indexed by those sizes, too,
-    # but only by sizes that occur.
-    sizes = runs.agg(F.collect_set(size)).scalar()
+    run_grams = run_grams.withColumn("h", F.xxhash64("gram"))
+    # Texts are indexed by the sizes that runs shorter than a full gram have, too.
+    sizes = sorted({r[0] for r in runs.select(size.alias("n")).distinct().collect()})
     lower = F.lower("primary_drugs")
-    all_grams = F.concat(
-        *[
-            F.when(F.array_contains(sizes, n), _grams(lower, F.lit(n))).otherwise(
-                F.array().cast("array<string>")
-            )
-            for n in range(1, GRAM + 1)
-        ]
-    )
-    text_grams = texts.select("primary_drugs", F.explode(all_grams).alias("gram"))
-    # Grams no name uses are dropped before anything is counted or shuffled by gram.
-    used = run_grams.select("gram").distinct()
-    text_grams = text_grams.join(used, "gram", "left_semi")
-    frequency = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    # A gram that no text has is the rarest of all and yields no candidate.
-    rarest = (
-        run_grams.join(frequency, "gram", "left")
-        .groupBy("drug", "run")
-        .agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
-    )
-    return text_grams.join(rarest, "gram").select("drug", "primary_drugs")
-
-
-def _with_every_text(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates for patterns that any text may match, such as ``.*`` or ``(ab)?``.
-
-    Each pattern goes to every group of texts, one group per shuffle partition; groups are
-    joined apart from each other, so neither side has to fit into the memory of a task.
+    all_grams = F.concat(*[_grams(lower, F.lit(n)) for n in sizes]) if sizes else F.array()
+    used = run_grams.select("h").distinct()
+    postings = materialise(
+        texts.select("tid", F.explode(all_grams).alias("gram"))
+        .select(F.xxhash64("gram").alias("h"), "tid").distinct()
+        .join(used, "h", "left_semi"), "match-postings")
+    frequency = postings.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    ranked = (run_grams.select("drug", "run", "h").distinct()
+              .join(frequency, "h", "left").fillna(0, ["n"])
+              .groupBy("drug", "run")
+              .agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "h"))), 1, 2).alias("two")))
+    first, second = F.col("two")[0], F.get(F.col("two"), 1)
+    asked = ranked.select("drug", first["h"].alias("h"), first["n"].alias("n"),
+                          F.when(first["n"] > HEAVY, second["h"]).alias("h2"))
+    asked = asked.filter(F.col("n") > 0)
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / SPLIT)).cast("long")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    salted = postings.join(frequency, "h").withColumn(
+        "salt", F.pmod(F.col("tid"), F.greatest(F.lit(1), F.ceil(F.col("n") / SPLIT)).cast("long")))
+    found = asked.join(salted.select("h", "salt", "tid"), ["h", "salt"]).select("drug", "tid", "h2")
+    alone = found.filter(F.col("h2").isNull()).select("drug", "tid")
+    both = (found.filter(F.col("h2").isNotNull())
+            .join(postings.withColumnRenamed("h", "h2"), ["h2", "tid"], "left_semi")
+            .select("drug", "tid"))
+    return alone.unionByName(both)
+
+
+def _every_text(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(drug, tid) for patterns without a compulsory letter: each to every group of texts.
+
+    Groups are joined apart from each other, one per shuffle partition, so neither side has
+    to fit into the memory of a task.
     """
     groups = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = names.select("drug", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    part = F.pmod(F.xxhash64("primary_drugs"), F.lit(groups)).cast("int")
-    parts = texts.select("primary_drugs", part.alias("part"))
-    return parts.join(copies, "part").select("drug", "primary_drugs")
+    parts = texts.select("tid", F.pmod(F.col("tid"), F.lit(groups)).cast("int").alias("part"))
+    return parts.join(copies, "part").select("drug", "tid")
+
+
+def _paired_with_all(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Every text with each of ``names``: these names match everywhere."""
+    return _every_text(names.select("drug"), texts).join(texts, "tid").select(
+        "drug", "primary_drugs")

@@ -65,3 +65,27 @@ texts = st.lists(st.text("abc()2", max_size=6), min_size=15, max_size=25, unique
 @given(patterns, texts)
 def test_regex_mode_on_random_patterns(spark, names, cells):
     assert matched(spark, names, cells, True) == brute(names, cells, True)
+
+
+def test_heavy_grams_are_salted_and_intersected(spark, monkeypatch):
+    from phasewise.operators import match
+
+    monkeypatch.setattr(match, "HEAVY", 3)
+    monkeypatch.setattr(match, "SPLIT", 4)
+    texts = [f"drug{i}, common" if i % 2 else f"other{i}" for i in range(40)]
+    texts += ["commonplace", "uncommon tablet", "tablet", "(ab)c", "abc"]
+    names = ["common", "on, comm", "Common|tablet", "(ab)?c", "[0-9]+", "drug1[0-9]", "q*", ""]
+    assert matched(spark, names, texts, True) == brute(names, texts, True)
+    assert matched(spark, names, texts, False) == brute(names, texts, False)
+
+
+def test_pattern_analysis():
+    from phasewise.operators.match import analyse
+
+    assert analyse("(ab)?c") == ("runs", ["c"], True)
+    assert analyse("(?:ab)c")[1] == ["abc"]
+    assert analyse("a|zz")[1] == ["a", "zz"]
+    assert analyse(".*")[0] == analyse("a|")[0] == "every"
+    assert analyse(r"\bq*")[0] == "scan"
+    assert analyse("bad(")[0] == "invalid"
+    assert analyse("a{,3}")[2] is False

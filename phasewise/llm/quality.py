@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
+from phasewise.llm.staging import stage
+
 # Fixed values of the quality contract: word and symbol classes, window, base limits.
 _WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -129,7 +131,8 @@ def judge(docs: DataFrame) -> DataFrame:
     words and fail the base rules; empty tables give no rows; repeated rows are judged each,
     and all take part in the sketches. Texts of any length are measured whole.
     """
-    measured = base_measures(docs)
+    # Staged: the texts are measured once, for the sketches and for the verdicts.
+    measured = stage(base_measures(docs), "quality-measures")
     fences = thresholds(measured)
     joined = measured.join(
         fences, F.col("_lang").eqNullSafe(F.col("_flang"))

@@ -78,22 +78,28 @@ class SortedRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that, with doc_id, tell the rows of a table apart."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit("row"), doc_id, text)
+
+
 def _batched_lines(rows: DataFrame, batches: int) -> DataFrame:
-    """batch, h1, h2, doc_id, row, pos of the lines that are compared."""
+    """batch, h1, h2, doc_id, row, row2, pos of the lines that are compared."""
     cuts = [i / batches for i in range(1, batches)]
     found = rows.select(F.percentile_approx("doc_id", F.lit(cuts)).alias("cuts")).first()
     batch = F.lit(0)
     for cut in (found["cuts"] or []) if cuts else []:
         batch = batch + (F.col("doc_id") > F.lit(cut)).cast("int")
     each = rows.filter("doc_id is not null").select(
-        batch.alias("batch"), "doc_id", "row", F.posexplode("lines").alias("pos", "line"))
+        batch.alias("batch"), "doc_id", "row", "row2", F.posexplode("lines").alias("pos", "line"))
     keyed = each.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= MIN_KEY)
     return keyed.select("batch", F.xxhash64("key").alias("h1"),
-                        F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "row", "pos")
+                        F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "row", "row2",
+                        "pos")
 
 
 def _dropped(lines: DataFrame, runs: SortedRuns) -> DataFrame:
-    """row, pos of a batch's lines that go; the batch's new lines become a run."""
+    """doc_id, row, row2, pos of a batch's lines that go; its new lines become a run."""
     keys = lines.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.lit(False).alias("seen"))
     for run in runs.tables():
@@ -102,7 +108,8 @@ def _dropped(lines: DataFrame, runs: SortedRuns) -> DataFrame:
     keys = stage(keys, "line-keys")
     runs.add(keys.filter("not seen").select("h1", "h2"))
     repeated = keys.filter("seen or high > low").select("h1", "h2", "low", "seen")
-    return lines.join(repeated, ["h1", "h2"]).filter("seen or doc_id > low").select("row", "pos")
+    return lines.join(repeated, ["h1", "h2"]).filter("seen or doc_id > low").select(
+        "doc_id", "row", "row2", "pos")
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
@@ -115,10 +122,12 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
     A null or empty text is one empty line. A row without doc_id takes no part and stays
     whole; rows that repeat a doc_id count as one document. With ``carry``, a struct
     ``carried`` holds all columns of the row; else other columns are not read.
-    ``doc_id`` must be numeric. Hashes have 128 bits.
+    ``doc_id`` must be numeric. Line keys are hashed to 128 bits; a row is known by its
+    doc_id and 128 bits of its text, so places go back to their own document.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"),
+    row, row2 = row_keys(F.col("doc_id"), F.col("text"))
+    rows = docs.select("doc_id", row.alias("row"), row2.alias("row2"),
                        _lines(F.col("text")).alias("lines"),
                        *([carried(docs)] if carry else []))
     path = fresh_path(spark, "lines")
@@ -127,13 +136,15 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
     stored = spark.read.schema(lines.schema).parquet(path)
     runs = SortedRuns(spark, fanout)
     dropped = None
-    for batch in range(batches):
-        own = _dropped(stored.filter(F.col("batch") == batch).drop("batch"), runs)
-        dropped = own if dropped is None else dropped.unionByName(own)
-    runs.close()
+    try:
+        for batch in range(batches):
+            own = _dropped(stored.filter(F.col("batch") == batch).drop("batch"), runs)
+            dropped = own if dropped is None else dropped.unionByName(own)
+    finally:
+        runs.close()
     # Rows equal in id and text would list a place twice.
-    places = dropped.groupBy("row").agg(F.collect_set("pos").alias("places"))
-    joined = rows.join(places, "row", "left")
+    places = dropped.groupBy("doc_id", "row", "row2").agg(F.collect_set("pos").alias("places"))
+    joined = rows.join(places, ["doc_id", "row", "row2"], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
     kept = F.when(F.col("places").isNull(), F.array_join("lines", "\n")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))

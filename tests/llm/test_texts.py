@@ -11,6 +11,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from phasewise.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, substring_dedup
 from tests.llm.hard_rows import documents, texts
 
@@ -112,6 +114,14 @@ def test_line_dedup(spark, batches, fanout):
     assert rows_of(found, "doc_id", "n_lines", "n_dropped", "kept") == lines_left(texts())
 
 
+def test_line_dedup_with_colliding_row_hashes(spark, monkeypatch):
+    # Every row gets the same first 64 bits; doc_id and the second half still tell them apart.
+    keys = line_dedup.row_keys
+    monkeypatch.setattr(line_dedup, "row_keys", lambda d, t: (F.lit(7).cast("long"), keys(d, t)[1]))
+    found = line_dedup.dedup_lines(documents(spark), 2, 2)
+    assert rows_of(found, "doc_id", "n_lines", "n_dropped", "kept") == lines_left(texts())
+
+
 def test_line_dedup_of_empty_and_null_ids(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
     rows = [(None, "a line of many letters"), (None, "a line of many letters")]

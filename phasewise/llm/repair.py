@@ -28,6 +28,8 @@ DataFrame operations; only the cells are computed in Python.
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ LEGAL_PAIRS = ("su", "ua", "au")
 #: Rows parsed by full CYK at a time, and cells of blocks combined at a time.
 BLOCK = 8
 FAN_IN = 64
+#: Rows handed to one Python call, about.
+BUCKET_ROWS = 4096
 
 # Automaton of (s?(ua)+)?: 0 start, 1 after system, 2 after user, 3 after assistant.
 _STATES = 4
@@ -57,19 +61,18 @@ Cell = list  # 16 entries (p * 4 + q) of (cost, audit) or None
 def _join(left: Cell, right: Cell) -> Cell:
     """Cell of a span made of two adjacent spans: (p, q) -> (p, r) (r, q), least kept."""
     out: Cell = [None] * 16
-    for p in range(_STATES):
-        for r in range(_STATES):
-            a = left[p * 4 + r]
-            if a is None:
+    for pr, a in enumerate(left):
+        if a is None:
+            continue
+        p4, r4 = pr - pr % 4, (pr % 4) * 4
+        for q in range(_STATES):
+            b = right[r4 + q]
+            if b is None:
                 continue
-            for q in range(_STATES):
-                b = right[r * 4 + q]
-                if b is None:
-                    continue
-                c = (a[0] + b[0], a[1] + b[1])
-                k = p * 4 + q
-                if out[k] is None or c < out[k]:
-                    out[k] = c
+            c = (a[0] + b[0], a[1] + b[1])
+            k = p4 + q
+            if out[k] is None or c < out[k]:
+                out[k] = c
     return out
 
 
@@ -94,6 +97,11 @@ def _insertions() -> Cell:
 _EMPTY = _insertions()
 
 
+@functools.lru_cache(maxsize=None)
+def _row_cell(initial: str, fault: str) -> tuple:
+    return tuple(_row(initial, fault))
+
+
 def _row(initial: str, fault: str) -> Cell:
     """Cell of one row, closed under insertions on both sides.
 
@@ -128,7 +136,7 @@ def parse(rows: list[tuple[str, str]]) -> Cell:
     n = len(rows)
     if n == 0:
         return list(_EMPTY)
-    table = {(i, i + 1): _row(*rows[i]) for i in range(n)}
+    table = {(i, i + 1): list(_row_cell(*rows[i])) for i in range(n)}
     for length in range(2, n + 1):
         for i in range(0, n - length + 1):
             j = i + length
@@ -164,19 +172,34 @@ def _cells_in(costs, audits) -> Cell:
     return [None if c is None or pd.isna(c) else (int(c), a) for c, a in zip(costs, audits)]
 
 
-def _parse_blocks(groups: pd.DataFrame) -> pd.DataFrame:
-    groups = groups.sort_values("pos", kind="stable")
-    rows = list(zip(groups["initial"], groups["fault"]))
-    first = groups.iloc[0]
-    return pd.DataFrame([_cells_out(first["ck"], int(first["block"]), parse(rows))])
+def _runs(frame: pd.DataFrame, keys: list[str], order: str):
+    """(key values, row numbers) of each group of ``frame`` by ``keys``, rows in ``order``."""
+    frame = frame.sort_values([*keys, order], kind="stable").reset_index(drop=True)
+    values = list(zip(*(frame[k].tolist() for k in keys)))
+    begin = 0
+    for end in range(1, len(values) + 1):
+        if end == len(values) or values[end] != values[begin]:
+            yield frame, values[begin], range(begin, end)
+            begin = end
+
+
+def _parse_blocks(bucket: pd.DataFrame) -> pd.DataFrame:
+    """The cell of every block in a bucket of blocks."""
+    out = []
+    for frame, (ck, block), rows in _runs(bucket, ["ck", "block"], "pos"):
+        initials, faults = frame["initial"], frame["fault"]
+        out.append(_cells_out(ck, int(block), parse([(initials[i], faults[i]) for i in rows])))
+    return pd.DataFrame(out, columns=["ck", "block", "costs", "audits"])
 
 
-def _combine_blocks(groups: pd.DataFrame) -> pd.DataFrame:
-    groups = groups.sort_values("block", kind="stable")
-    cells = [_cells_in(c, a) for c, a in zip(groups["costs"], groups["audits"])]
-    first = groups.iloc[0]
-    return pd.DataFrame([_cells_out(first["ck"], int(first["block"]) // FAN_IN,
-                                    combine(cells))])
+def _combine_blocks(bucket: pd.DataFrame) -> pd.DataFrame:
+    """Cells of up to FAN_IN consecutive blocks combined, for every group in a bucket."""
+    out = []
+    for frame, (ck, group), rows in _runs(bucket, ["ck", "group"], "block"):
+        costs, audits = frame["costs"], frame["audits"]
+        cells = [_cells_in(costs[i], audits[i]) for i in rows]
+        out.append(_cells_out(ck, int(group), combine(cells)))
+    return pd.DataFrame(out, columns=["ck", "block", "costs", "audits"])
 
 
 def _key() -> Column:
@@ -250,17 +273,22 @@ def least_repairs(rows: DataFrame) -> DataFrame:
 
     Blocks of ``BLOCK`` rows are parsed, then their cells are combined ``FAN_IN`` at a time
     until one is left per conversation; every level is staged, so a lost executor repeats
-    one level only.
+    one level only. Python is called once per bucket of about ``BUCKET_ROWS`` rows: buckets
+    are hashes of (conversation, block), so the blocks of a long conversation spread.
     """
     blocked = rows.select("ck", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"),
                           "pos", "initial", "fault")
-    cells = stage(blocked.groupBy("ck", "block").applyInPandas(_parse_blocks, _CELL_SCHEMA),
-                  "repair-cells")
+    n_rows = rows.count()
+    bucket = F.pmod(F.xxhash64("ck", "block"), F.lit(max(1, n_rows // BUCKET_ROWS)))
+    cells = stage(blocked.groupBy(bucket.alias("bucket")).applyInPandas(
+        _parse_blocks, _CELL_SCHEMA), "repair-cells")
     most = cells.agg(F.max("block")).first()[0] or 0
     while most > 0:
-        cells = stage(cells.withColumn("group", F.floor(F.col("block") / FAN_IN))
-                      .groupBy("ck", "group").applyInPandas(_combine_blocks, _CELL_SCHEMA),
-                      "repair-cells")
+        grouped = cells.withColumn("group", F.floor(F.col("block") / FAN_IN))
+        bucket = F.pmod(F.xxhash64("ck", "group"),
+                        F.lit(max(1, n_rows // (BLOCK * BUCKET_ROWS))))
+        cells = stage(grouped.groupBy(bucket.alias("bucket")).applyInPandas(
+            _combine_blocks, _CELL_SCHEMA), "repair-cells")
         most //= FAN_IN
 
     def at(k: int, name: str) -> Column:

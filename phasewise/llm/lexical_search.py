@@ -13,7 +13,8 @@ DataFrame aggregations over all documents. Only terms of some query can add to a
 document vectors are kept on those terms alone; a document without any scores 0 everywhere
 and is left out.
 
-Documents are dealt into blocks of about ``BLOCK_DOCS`` by a hash of their row. Every block
+Documents are dealt into blocks of about ``BLOCK_DOCS`` by a hash of their row; a block
+receives the entries of its documents only, one row per (document, query term). Every block
 builds a ball tree over its sparse vectors: a node holds its centroid c and radius r, and is
 split at the median of the projection on the line between two far-apart documents, down to
 leaves of ``LEAF`` documents. No document below a node scores more than ``q.c + |q| r`` for a
@@ -45,6 +46,8 @@ TOP = 10
 #: Documents of a block, and documents of a leaf of its tree.
 BLOCK_DOCS = 2000
 LEAF = 16
+#: Query terms broadcast to the scan at most; beyond, they are joined by a shuffle.
+BROADCAST_TERMS = 1 << 20
 #: Relative widening of float bounds, far above the rounding error of their sums.
 SLACK = 1e-7
 
@@ -157,18 +160,20 @@ def best(tree: _Tree, keys: np.ndarray, weights: np.ndarray, bounds: np.ndarray,
 _COLUMNS = [c.split()[0] for c in _HITS.split(", ")]
 
 
-def _search_block(docs: pd.DataFrame, queries: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
-    if docs.empty or queries.empty:
+def _search_block(entries: pd.DataFrame, queries: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
+    """Best ``top`` rows of a block per query; ``entries`` holds (rid, dk, dnull, term, value)."""
+    if entries.empty or queries.empty:
         return pd.DataFrame({c: pd.Series([], dtype="bool" if c == "dnull" else "int64")
                              for c in _COLUMNS})
+    entries = entries.sort_values("rid", kind="stable").reset_index(drop=True)
     vocabulary: dict[str, int] = {}
-    indices, values, indptr = [], [], [0]
-    for names, numbers in zip(docs["terms"], docs["values"]):
-        indices += [vocabulary.setdefault(t, len(vocabulary)) for t in names]
-        values += list(numbers)
-        indptr.append(len(indices))
-    tree = _Tree(np.array(indptr, dtype=np.int64), np.array(indices, dtype=np.int64),
-                 np.array(values, dtype=np.int64), len(vocabulary))
+    indices = np.array([vocabulary.setdefault(t, len(vocabulary)) for t in entries["term"]],
+                       dtype=np.int64)
+    rids = entries["rid"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, rids[1:] != rids[:-1]])
+    indptr = np.r_[starts, len(rids)].astype(np.int64)
+    tree = _Tree(indptr, indices, entries["value"].to_numpy(dtype=np.int64), len(vocabulary))
+    docs = entries.iloc[starts].reset_index(drop=True)[["rid", "dk", "dnull"]]
     # Ties go by doc_id, nulls last, then by row: the place of a row in that order.
     order = np.lexsort((docs["rid"].to_numpy(), docs["dk"].to_numpy(), docs["dnull"].to_numpy()))
     keys = np.empty(len(order), dtype=np.int64)
@@ -202,46 +207,51 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     too; items with equal item_id are one item with the terms of all. Null texts have no
     terms; items without terms, and empty tables, give no rows. Other columns, however
     named, are not read. Texts of any length are read whole.
+
+    The texts are read once: each row gives one summary entry (its term count) and one entry
+    per occurrence of a query term, counted into term frequencies on the map side. Query
+    terms are broadcast when there are at most ``BROADCAST_TERMS`` of them (the count is
+    checked), else joined by a shuffle.
     """
     spark = docs.sparkSession
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
-                             terms(F.col("text")).alias("ts")).filter(F.size("ts") > 0),
-                 "lexical-terms")
-    n_docs, n_terms = rows.agg(F.count(F.lit(1)), F.sum(F.size("ts")).cast("long")).first()
+    empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     queries = stage(items.select(F.col("item_id").alias("qitem")).distinct()
                     .withColumn("qid", F.monotonically_increasing_id()), "lexical-items")
-    query_terms = (items.select("item_id", F.explode(terms(F.col("text"))).alias("term"))
-                   .join(queries, F.col("item_id").eqNullSafe(F.col("qitem")))
-                   .select("qid", "term").distinct())
-    empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    query_terms = stage(items.select("item_id", F.explode(terms(F.col("text"))).alias("term"))
+                        .join(queries, F.col("item_id").eqNullSafe(F.col("qitem")))
+                        .select("qid", "term").distinct(), "lexical-query-terms")
+    wanted = query_terms.select("term").distinct().withColumn("asked", F.lit(True))
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id",
+                       terms(F.col("text")).alias("ts"))
+    # A null entry per row carries its term count n; the others are its query terms.
+    each = rows.select("rid", "doc_id", F.size("ts").cast("long").alias("n"),
+                       F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("term"))
+    kept = each.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("asked"))
+    counts = stage(kept.groupBy("rid", "doc_id", "n", "term").agg(
+        F.count(F.lit(1)).alias("tf")), "lexical-counts")
+    n_docs, n_terms = counts.filter("term is null and n > 0").agg(
+        F.count(F.lit(1)), F.sum("n").cast("long")).first()
     if not n_docs:
         return empty
-    counts = stage(rows.select("rid", F.size("ts").cast("long").alias("n"),
-                               F.explode("ts").alias("term"))
-                   .groupBy("rid", "n", "term").agg(F.count(F.lit(1)).alias("tf")),
-                   "lexical-counts")
-    wanted = query_terms.select("term").distinct()
+    found = counts.filter("term is not null")
     ratio = F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1).cast("double")
-    weights = (counts.join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = (found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
                .select("term", F.floor(F.log(ratio) * WEIGHT_SCALE).cast("long").alias("w")))
     m = F.lit(100 - B_PERCENT) + F.expr(f"({B_PERCENT} * n * {n_docs}L) div {n_terms}L")
     value = F.expr(f"({SCALE}L * tf) div ({K1} * tf + 8 * m)")
-    vectors = (counts.join(wanted, "term").withColumn("m", m)
-               .select("rid", F.struct("term", value.alias("value")).alias("entry"))
-               .groupBy("rid").agg(F.collect_list("entry").alias("entries")))
-    vectors = stage(vectors.join(rows.select("rid", "doc_id"), "rid").select(
-        "rid", F.coalesce("doc_id", F.lit(0).cast("long")).alias("dk"),
-        F.col("doc_id").isNull().alias("dnull"),
-        F.col("entries.term").alias("terms"), F.col("entries.value").alias("values")),
-        "lexical-vectors")
-    blocks = max(1, math.ceil(vectors.count() / BLOCK_DOCS))
-    vectors = vectors.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    blocks = max(1, math.ceil(n_docs / BLOCK_DOCS))
+    entries = found.withColumn("m", m).select(
+        F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block"), "rid",
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias("dk"),
+        F.col("doc_id").isNull().alias("dnull"), "term", value.alias("value"))
     asked = (query_terms.join(weights, "term").groupBy("qid")
              .agg(F.collect_list(F.struct("term", "w")).alias("entries"))
              .select("qid", F.col("entries.term").alias("terms"), F.col("entries.w").alias("weights"))
              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
                                                        F.lit(blocks - 1).cast("long")))))
-    hits = (vectors.groupBy("block").cogroup(asked.groupBy("block"))
+    hits = (entries.groupBy("block").cogroup(asked.groupBy("block"))
             .applyInPandas(functools.partial(_search_block, top=top), _HITS))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("dnull"), "dk", "rid")
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

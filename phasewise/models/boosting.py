@@ -1,7 +1,7 @@
 """Second-order gradient boosting on DataFrames: histograms of gradients and hessians.
 
 Each round fits one regression tree to the first and second derivatives of the loss at the
-current margins (logistic loss for classes 0/1, squared error for numbers). Features are cut
+current margins (logistic loss for classes 0/1, squared error or Huber loss for numbers). Features are cut
 into quantile bins once (MLlib's ``QuantileDiscretizer``). Trees grow level by level: one
 aggregation per level sums weighted gradients and hessians by (node, feature, bin) over the
 rows of the round's sample; the table it returns is bounded by nodes x features x bins, not by
@@ -9,7 +9,9 @@ rows, and the split of every node is chosen from it on the driver by the gain
 
     gain = (T(GL)^2 / (HL + lambda) + T(GR)^2 / (HR + lambda) - T(G)^2 / (H + lambda)) / 2 - gamma
 
-where T soft-thresholds by alpha. A split needs gain above 0 and a hessian sum of at least
+where T soft-thresholds by alpha. Huber loss takes, each round, the ``huber_alpha`` quantile of
+the absolute residuals from a mergeable sketch (``percentile_approx``) as its delta and
+clips residuals there; its hessian is the row weight, so leaves step by clipped means. A split needs gain above 0 and a hessian sum of at least
 ``min_child_weight`` on both sides; a leaf's value is ``-eta * T(G) / (H + lambda)``. Rows
 are routed and margins updated by CASE expressions in the JVM; every round is staged, so
 lineage stays one round long. The knobs are those of the usual boosted-tree grids:
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from phasewise.session import materialise
 
 MAX_BINS = 64
+HUBER_ACCURACY = 10000
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,8 @@ class Knobs:
     subsample: float = 1.0
     colsample_bytree: float = 1.0
     scale_pos_weight: float = 1.0
-    objective: str = "logistic"  # or "squared"
+    objective: str = "logistic"  # or "squared", "huber"
+    huber_alpha: float = 0.9
     seed: int = 7
 
 
@@ -64,6 +68,7 @@ class Booster:
     base: float
     trees: list[Tree]
     objective: str
+    deltas: list[float] = field(default_factory=list)
 
     def margin(self, bins: Column) -> Column:
         total = F.lit(self.base)
@@ -169,26 +174,39 @@ def fit(df: DataFrame, features: list[str], label: str, k: Knobs = Knobs(),
         base = rows.agg(F.sum(F.col("y") * F.col("w")) / F.sum("w")).first()[0] or 0.0
     rows = rows.withColumn("margin", F.lit(float(base)))
     draw = random.Random(k.seed)
-    trees = []
+    trees, deltas = [], []
     for round_ in range(k.n_estimators):
         chosen = sorted(draw.sample(range(len(features)),
                                     max(1, math.ceil(k.colsample_bytree * len(features)))))
-        tree = _grow(rows, round_, chosen, k)
+        delta = huber_delta(rows, k) if k.objective == "huber" else None
+        tree = _grow(rows, round_, chosen, k, delta)
         trees.append(tree)
+        deltas += [delta] if delta is not None else []
         rows = materialise(rows.withColumn("margin", F.col("margin") + _leaf_value(
             tree, F.col("_bins"))), "boost-rows")
-    return Booster(features, binner, float(base), trees, k.objective)
+    return Booster(features, binner, float(base), trees, k.objective, deltas)
 
 
-def _derivatives(k: Knobs) -> tuple[Column, Column]:
+def huber_delta(rows: DataFrame, k: Knobs) -> float:
+    """The ``huber_alpha`` quantile of absolute residuals, from a mergeable sketch."""
+    residual = F.abs(F.col("y") - F.col("margin"))
+    found = rows.agg(F.percentile_approx(residual, k.huber_alpha, HUBER_ACCURACY)).first()[0]
+    return float(found or 0.0)
+
+
+def _derivatives(k: Knobs, delta: float | None = None) -> tuple[Column, Column]:
     if k.objective == "logistic":
         p = 1 / (1 + F.exp(-F.col("margin")))
         return (p - F.col("y")) * F.col("w"), p * (1 - p) * F.col("w")
-    return (F.col("margin") - F.col("y")) * F.col("w"), F.col("w")
+    residual = F.col("margin") - F.col("y")
+    if k.objective == "huber":
+        residual = F.greatest(F.least(residual, F.lit(delta)), F.lit(-delta))
+    return residual * F.col("w"), F.col("w")
 
 
-def _grow(rows: DataFrame, round_: int, chosen: list[int], k: Knobs) -> Tree:
-    g, h = _derivatives(k)
+def _grow(rows: DataFrame, round_: int, chosen: list[int], k: Knobs,
+          delta: float | None = None) -> Tree:
+    g, h = _derivatives(k, delta)
     sample = rows.filter(_in_sample(F.col("rid"), round_, k)).select(
         "_bins", g.alias("g"), h.alias("h"), F.lit(1).alias("node"))
     tree, open_nodes, sums = Tree(), [1], {}

@@ -11,7 +11,7 @@ import pytest
 from phasewise.models import boosting
 
 
-def plain_fit(bins, y, w, k, rounds_sample, chosen_per_round, base):
+def plain_fit(bins, y, w, k, rounds_sample, chosen_per_round, base, deltas=None):
     """The same greedy trees, row by row in numpy: margins after all rounds."""
     margin = np.full(len(y), base)
     for sample, chosen in zip(rounds_sample, chosen_per_round):
@@ -19,7 +19,13 @@ def plain_fit(bins, y, w, k, rounds_sample, chosen_per_round, base):
             p = 1 / (1 + np.exp(-margin))
             g, h = (p - y) * w, p * (1 - p) * w
         else:
-            g, h = (margin - y) * w, w.copy()
+            r = margin - y
+            if k.objective == "huber":
+                delta = deltas.pop(0)
+                # The sketch's quantile is one of the residuals, near the exact one.
+                assert abs(np.searchsorted(np.sort(np.abs(r)), delta) / len(r) - k.huber_alpha) < 0.02
+                r = np.clip(r, -delta, delta)
+            g, h = r * w, w.copy()
         leaf_of = np.ones(len(y), dtype=int)
         values = {}
 
@@ -50,7 +56,7 @@ def plain_fit(bins, y, w, k, rounds_sample, chosen_per_round, base):
     return margin
 
 
-@pytest.mark.parametrize("objective", ["logistic", "squared"])
+@pytest.mark.parametrize("objective", ["logistic", "squared", "huber"])
 def test_trees_equal_plain_greedy_trees(spark, objective):
     draw = random.Random(5)
     rows = []
@@ -86,6 +92,7 @@ def test_trees_equal_plain_greedy_trees(spark, objective):
     model = boosting.fit(df, ["a", "b", "c", "d"], "y", full, weight="wt")
     scored = model.predict(df).filter("y is not null").orderBy("id").collect()
     base = 0.0 if objective == "logistic" else float(np.sum(y * w) / np.sum(w))
-    expected = plain_fit(bins, y, w, full, [np.ones(len(y), bool)] * 3, chosen, base)
+    expected = plain_fit(bins, y, w, full, [np.ones(len(y), bool)] * 3, chosen, base,
+                         list(model.deltas))
     assert np.allclose([r["margin"] for r in scored], expected, rtol=1e-9, atol=1e-9)
     assert len(known) == 199

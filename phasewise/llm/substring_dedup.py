@@ -16,6 +16,7 @@ nothing but the current window and its smallest document is held.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from phasewise.llm.words import BLANK_SEPARATED, Words, mix, slices, utf8
 WINDOW = 50
 #: Words of the grams that stand for windows, at most.
 GRAM = 10
-#: Rows of the sketch, and cells of a row.
-DEPTH, WIDTH = 2, 1 << 30
+#: Rows of the sketch, and cells of a row per gram entry counted: the width follows the data.
+DEPTH, CELLS_PER_GRAM = 2, 8
+#: A fixed width of the rows instead, if set.
+WIDTH: int | None = None
 _U = np.uint64
 
 
@@ -77,21 +80,34 @@ def _document_grams(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, grams array<long>")
 
 
-def _cell(level: int):
-    return F.pmod(F.xxhash64("gram", F.lit(level)), F.lit(WIDTH))
+def _cell(level: int, width: int):
+    return F.pmod(F.xxhash64("gram", F.lit(level)), F.lit(width))
+
+
+def sketch_width(grams: DataFrame) -> int:
+    """``WIDTH`` if set, else a power of two of at least CELLS_PER_GRAM cells per entry."""
+    if WIDTH:
+        return WIDTH
+    entries = grams.agg(F.sum(F.size("grams"))).first()[0] or 0
+    return 1 << max(10, math.ceil(math.log2(max(1, entries * CELLS_PER_GRAM))))
 
 
 def repeated_grams(grams: DataFrame) -> DataFrame:
-    """row, grams that the sketch estimates to be in at least two documents."""
+    """row, grams that the sketch estimates to be in at least two documents.
+
+    The width grows with the grams counted, so the share of crowded cells stays the same at
+    every size: about one in CELLS_PER_GRAM per row of the sketch.
+    """
+    width = sketch_width(grams)
     each = grams.select("row", F.explode("grams").alias("gram"))
-    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), _cell(i).alias("cell"))
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), _cell(i, width).alias("cell"))
                                  for i in range(DEPTH)])).alias("at")
     # Partial sums are the partitions' sketches; the final sums merge them.
     sketch = each.select(levels).groupBy("at.level", "at.cell").agg(F.count(F.lit(1)).alias("n"))
     high = stage(sketch.filter("n >= 2").select("level", "cell"), "sketch")
     for i in range(DEPTH):
         level = high.filter(F.col("level") == i).select("cell")
-        each = each.withColumn("cell", _cell(i)).join(level, "cell", "left_semi").drop("cell")
+        each = each.withColumn("cell", _cell(i, width)).join(level, "cell", "left_semi").drop("cell")
     return each.groupBy("row").agg(F.collect_set("gram").alias("grams"))
 
 

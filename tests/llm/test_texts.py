@@ -181,6 +181,15 @@ def test_substring_removal_with_a_crowded_sketch(spark, monkeypatch):
         texts(), 50)
 
 
+def test_sketch_width_follows_the_grams(spark):
+    def grams(n):
+        return spark.createDataFrame([(i, list(range(10))) for i in range(n)], "row long, grams array<long>")
+
+    assert substring_dedup.sketch_width(grams(10)) == 1 << 10
+    assert substring_dedup.sketch_width(grams(1000)) == 1 << 17
+    assert substring_dedup.sketch_width(grams(0).limit(0)) == 1 << 10
+
+
 def test_substring_removal_of_empty(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
 

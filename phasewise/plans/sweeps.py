@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phasewise.constants import FOLDS, MODEL_PHASES
 from phasewise.models.training import MATRICES, fit, log_rows, model_builder, model_input
 from phasewise.sources.readers import read_phase_table
-from phasewise.sources.sinks import append_scores, union_all
+from phasewise.sources.sinks import logged_unit, union_all, write_unit
 
 
 def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
@@ -20,15 +20,25 @@ def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
     a sample leaves out stands next to the scores. Odds of logistic models are metrics, too.
 
     The model input of a phase is prepared once for all models. With a score path, each
-    model's scores are appended to the log as soon as they are known.
+    unit of work (task, phase, model, folds and sample) is written to the log as its own
+    folder as soon as it is known, and a unit that the log already holds is read instead of
+    fitted again: a sweep that was stopped resumes where it stood, and a unit that was tried
+    twice is in the log once.
     """
     for model_type in models:
         model_builder(task, model_type)
     results = []
     for phase in phases:
-        matrix = MATRICES[task](read_phase_table(spark, phase_path, phase))
-        data = model_input(matrix, folds, stratified=task != "length")
+        data = None
         for model_type in models:
+            unit = f"{task}|{phase}|{model_type}|folds={folds}|points={max_points}"
+            done = logged_unit(spark, score_path, unit) if score_path else None
+            if done is not None:
+                results.append(done.drop("scored_at"))
+                continue
+            if data is None:
+                matrix = MATRICES[task](read_phase_table(spark, phase_path, phase))
+                data = model_input(matrix, folds, stratified=task != "length")
             fitted = fit(data, task, model_type, folds, max_points, parallelism)
             scores = log_rows(fitted).withColumns({
                 "phase": F.lit(phase),
@@ -36,7 +46,7 @@ def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
                 "points_left_out": F.lit(fitted.left_out),
             })
             if score_path is not None:
-                append_scores(scores.withColumn("scored_at", F.current_timestamp()), score_path)
+                write_unit(scores.withColumn("scored_at", F.current_timestamp()), score_path, unit)
             results.append(scores)
     return union_all(results)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.constants import MODEL_PHASES
@@ -60,5 +62,30 @@ def append_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").parquet(path)
 
 
+def unit_path(path: str, unit: str) -> str:
+    """The folder of one unit of work in a log: ``unit=`` and a digest of its key."""
+    return f"{path.rstrip('/')}/unit={hashlib.sha1(unit.encode()).hexdigest()}"
+
+
+def write_unit(scores: DataFrame, path: str, unit: str) -> None:
+    """Write a unit's rows as its own folder, replacing whatever a failed try left there.
+
+    The folder counts as written once the job has committed it (its ``_SUCCESS`` marker), so
+    a unit is in the log wholly or not at all, however often it was tried.
+    """
+    scores.withColumn("unit_key", F.lit(unit)).write.mode("overwrite").parquet(
+        unit_path(path, unit))
+
+
+def logged_unit(spark: SparkSession, path: str, unit: str) -> DataFrame | None:
+    """A unit's rows if a committed folder holds them, else None."""
+    folder = unit_path(path, unit)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(hadoop):
+        return None
+    return spark.read.parquet(folder).drop("unit_key")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -218,6 +218,30 @@ def test_sweep_logs_every_model(spark, tmp_path):
         sweeps.pass_sweep(spark, store, ("ols",))
 
 
+def test_stopped_sweep_resumes_without_double_rows(spark, tmp_path, monkeypatch):
+    store, log = str(tmp_path / "store"), str(tmp_path / "log")
+    sinks.write_phase_tables(phase_rows(spark), store, [PHASE])
+    real, calls = sweeps.fit, []
+
+    def stopping(data, task, model_type, *args):
+        calls.append(model_type)
+        if model_type == "multinomial_naive_bayes" and calls.count(model_type) == 1:
+            raise RuntimeError("executor lost")
+        return real(data, task, model_type, *args)
+
+    monkeypatch.setattr(sweeps, "fit", stopping)
+    models = ("gaussian_naive_bayes", "multinomial_naive_bayes")
+    with pytest.raises(RuntimeError):
+        sweeps.time_sweep(spark, store, models, phases=[PHASE], folds=2, score_path=log)
+    assert spark.read.parquet(log).count() == 7
+    scores = sweeps.time_sweep(spark, store, models, phases=[PHASE], folds=2, score_path=log)
+    assert calls == ["gaussian_naive_bayes", "multinomial_naive_bayes", "multinomial_naive_bayes"]
+    logged = spark.read.parquet(log)
+    assert logged.count() == scores.count() == 14
+    again = sweeps.time_sweep(spark, store, models, phases=[PHASE], folds=2, score_path=log)
+    assert len(calls) == 3 and again.count() == 14 and spark.read.parquet(log).count() == 14
+
+
 def test_command_line_extracts_and_fits(spark, tmp_path):
     rows = [
         trial(f"drug {i % 40}", phase, start=str(2001 + i % 7), end="01 Jan 2012",

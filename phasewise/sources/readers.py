@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,62 @@ def _read(spark: SparkSession, path: str, source: str, schema: T.StructType,
     return conform(raw, schema)
 
 
+#: Column that holds CSV lines that do not split into the header's fields.
+CORRUPT = "_corrupt_record"
+_REJECTS = "file string, record string, column string, value string, reason string"
+
+
+def _rejected_cells(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Cells of typed columns that hold text but do not read as their type."""
+    found = {snake_case(name): name for name in raw.columns}
+    parts = []
+    for field in schema.fields:
+        if field.name not in found or isinstance(field.dataType, T.StringType):
+            continue
+        value = raw[f"`{found[field.name]}`"].cast("string")
+        bad = value.isNotNull() & (F.trim(value) != "") & value.try_cast(field.dataType).isNull()
+        parts.append(raw.filter(bad).select(
+            F.col("_file").alias("file"), F.lit(None).cast("string").alias("record"),
+            F.lit(field.name).alias("column"), value.alias("value"),
+            F.lit(f"not a {field.dataType.simpleString()}").alias("reason")))
+    empty = raw.sparkSession.createDataFrame([], _REJECTS)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def read_with_rejects(spark: SparkSession, path: str, source: str, schema: T.StructType,
+                      **options) -> tuple[DataFrame, DataFrame]:
+    """The table as ``read_trials`` or ``read_drugs`` give it, and what could not be read.
+
+    Rejects have the columns file, record, column, value and reason. A CSV line that does not
+    split into the header's fields is rejected whole (``malformed line``, the line in
+    ``record``) and is not in the table. A cell of a typed column that holds text but does not
+    read as its type (``1,200 subjects`` as a number) is rejected with its column and value;
+    in the table it is null, as ``conform`` makes it. Both come from one scan of the source.
+    """
+    defaults = CSV_OPTIONS if source == "csv" else {}
+    reader = spark.read.format(source).options(**{**defaults, **options})
+    if source == "csv":
+        header = reader.load(path).columns
+        fields = [T.StructField(name, T.StringType()) for name in header]
+        reader = reader.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    raw = reader.load(path)
+    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
+    if CORRUPT not in raw.columns:
+        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+    # A CSV line is judged whole only if all its columns are read: with fewer, Spark neither
+    # counts its fields nor scans for the bad column alone.
+    record = F.concat_ws("", F.col(CORRUPT), *[F.substring(F.col(f"`{c}`"), 1, 0)
+                                               for c in raw.columns if c not in (CORRUPT, "_file")])
+    broken = raw.filter(F.col(CORRUPT).isNotNull()).select(
+        F.col("_file").alias("file"), record.alias("record"),
+        F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"),
+        F.lit("malformed line").alias("reason"))
+    good = raw.filter(F.col(CORRUPT).isNull())
+    rejects = broken.unionByName(_rejected_cells(good, schema))
+    return conform(good.drop(CORRUPT, "_file"), schema), rejects
+
+
 def read_trials(spark: SparkSession, path: str, source: str = "parquet", **options) -> DataFrame:
     """The trials; options go to the source, such as ``multiLine`` for cells with line breaks."""
     return _read(spark, path, source, TRIALS, options)

@@ -193,3 +193,24 @@ def test_was_reached(spark, cell, mean, reached):
         spark, [cell], "n bigint, m double", measures.was_reached(F.col("n"), F.col("m"))
     )
     assert got == [reached]
+
+
+def test_readers_list_what_they_cannot_read(spark, tmp_path):
+    from phasewise.sources.readers import read_with_rejects
+    from phasewise.sources.schemas import TRIALS
+
+    path = tmp_path / "trials.csv"
+    path.write_text(
+        "trial_id,primary_drugs,planned_subject_number\n"
+        "1,Taxol,40\n"
+        '2,"Taxol, Aspirin","1,200 subjects"\n'
+        "3,Aspirin,,,too,many\n"
+        "4,Aspirin, \n"
+        "5,Insulin,12.5\n")
+    table, rejects = read_with_rejects(spark, str(path), "csv", TRIALS)
+    rows = {r["trial_id"]: r["planned_subject_number"] for r in table.collect()}
+    assert rows == {"1": 40.0, "2": None, "4": None, "5": 12.5}
+    found = sorted((r["reason"], r["column"], r["value"], r["record"]) for r in rejects.collect())
+    assert found == [("malformed line", None, None, "3,Aspirin,,,too,many"),
+                     ("not a double", "planned_subject_number", "1,200 subjects", None)]
+    assert all(r["file"].endswith("trials.csv") for r in rejects.collect())

@@ -10,6 +10,7 @@ from phasewise.constants import (
     DEVELOPMENT_COST_BILLIONS,
     LENGTH_BINS,
     MODEL_PHASES,
+    ORGANISATION_BINS,
     ORGANISATION_COUNT,
     PASS,
     TRIAL_LENGTH,
@@ -91,7 +92,7 @@ def length_histogram(features: DataFrame, bins: int = LENGTH_BINS,
     return histogram(rows, "days", bins, ["phase"])
 
 
-def organisation_histogram(features: DataFrame, bins: int = 10) -> DataFrame:
+def organisation_histogram(features: DataFrame, bins: int = ORGANISATION_BINS) -> DataFrame:
     rows = features.select(quoted(ORGANISATION_COUNT).cast("double").alias("organisations"))
     return histogram(rows.na.fill(0.0), "organisations", bins, [])
 

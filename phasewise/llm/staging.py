@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 import phasewise
-from phasewise.session import fresh_path
+from phasewise.session import materialise
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and read it back with the same columns."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a table once to the shared folder and read it back with the same columns."""
+    return materialise(df, name)
 
 
 def carried(df: DataFrame) -> Column:

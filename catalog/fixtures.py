@@ -61,7 +61,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(value, separator: str, distinct: bool = False):
         items = F.transform("cells", value)
         items = F.array_distinct(items) if distinct else items
-        text = F.array_join(F.array_sort(items), separator)
+        text = F.array_join(F.sort_array(items), separator)
         return F.when(F.array_size("cells") > 0, text)
 
     def design(cell):

@@ -241,10 +241,18 @@ def design_counts(exploded: DataFrame, designs: list[str] | None = None,
 def organisation_counts(exploded: DataFrame) -> DataFrame:
     """The most organisations any trial of a drug has, look-alikes removed.
 
-    Each different cell of a drug is compared once, however many trials repeat it.
+    Each different cell is compared once, however many trials and drugs repeat it; no cell
+    means no organisation.
     """
     cells = exploded.select("drug", "organisations").distinct()
-    return with_organisations(cells).groupBy("drug").agg(
+    known = F.col("organisations").isNotNull()
+    sizes = with_organisations(
+        cells.filter(known).select("organisations").distinct()
+    ).select("organisations", "number_of_organizations")
+    numbers = cells.filter(known).join(sizes, "organisations").select(
+        "drug", "number_of_organizations"
+    ).unionByName(cells.filter(~known).select("drug", F.lit(0).alias("number_of_organizations")))
+    return numbers.groupBy("drug").agg(
         F.max("number_of_organizations").cast("bigint").alias(ORGANISATION_COUNT)
     )
 

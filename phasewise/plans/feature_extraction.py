@@ -14,6 +14,12 @@ from phasewise.operators.expand import explode_drugs
 from phasewise.session import materialise
 from phasewise.sources.sinks import write_features, write_phase_tables
 
+# What the parts of the joined feature table read of a trial-drug row.
+PART_COLUMNS = [
+    "drug", "phase_of_trial", "planned_subject_number", "trial_centre_details", "trial_start",
+    "trial_end", "trial_status", "organisations", "trial_design",
+]
+
 
 def trial_drugs(trials: DataFrame, cutoff: str = CUTOFF_DATE) -> DataFrame:
     """Clean trials, one row per drug."""
@@ -23,7 +29,12 @@ def trial_drugs(trials: DataFrame, cutoff: str = CUTOFF_DATE) -> DataFrame:
 def joined_feature_table(exploded: DataFrame, statuses: list[str] | None = None,
                          designs: list[str] | None = None,
                          phases: list[str] = PHASES) -> DataFrame:
-    """The feature table put together from its parts with left joins on the drug."""
+    """The feature table put together from its parts with left joins on the drug.
+
+    The trial rows are written to the shared folder first, with the columns that the parts
+    read: each part would otherwise derive them again.
+    """
+    exploded = materialise(exploded.select(*PART_COLUMNS), "exploded")
     table = ops.with_pass_flags(ops.features_by_phase(exploded, phases))
     table = ops.join_features(table, ops.status_counts(exploded, statuses, phases))
     table = ops.join_features(table, ops.organisation_counts(exploded))

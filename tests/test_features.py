@@ -108,6 +108,21 @@ def test_joined_and_fused_tables_agree(table, staged):
     assert by_drug(fused) == by_drug(joined.select(*[f"`{c}`" for c in fused.columns]))
 
 
+def test_joined_table_derives_the_trial_rows_once(table, spark, tmp_path):
+    stored = str(tmp_path / "trials")
+    table.write.parquet(stored)
+    joined = extraction.joined_feature_table(extraction.trial_drugs(spark.read.parquet(stored)))
+    assert not [path for path in joined.inputFiles() if stored in path]
+
+
+def test_organisations_compared_once_per_cell(spark):
+    rows = [("A", "Roche, Merck"), ("B", "Roche, Merck"), ("A", None), ("C", None), ("B", "Pfizer")]
+    counts = features.organisation_counts(
+        spark.createDataFrame(rows, "drug string, organisations string"))
+    found = {r["drug"]: r["Number of Organizations"] for r in counts.collect()}
+    assert found == {"A": 2, "B": 2, "C": 0}
+
+
 def test_active_drugs(table):
     exploded = extraction.trial_drugs(table)
     wide = features.pivot_feature(exploded, features.subject_means(exploded))

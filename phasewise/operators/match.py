@@ -41,6 +41,9 @@ GRAM = 8
 #: Postings beyond which a gram takes a second gram along, and postings a salt holds.
 HEAVY = 1 << 14
 SPLIT = 1 << 16
+#: Rows of a stored table that one task takes.
+ROWS = 1 << 20
+RUN = ["drug", "portable", "single", "run"]
 
 _SPECIAL = r"[\\.^$*+?{}\[\]|()]"
 # Syntax that Python and Java read alike: letters and digits, the usual operators,
@@ -173,85 +176,108 @@ def match_drugs(names: DataFrame, texts: DataFrame, regex: bool = True) -> DataF
     ``invalid_names`` lists them. The empty name, and patterns that match the empty string
     anywhere, are paired with every text.
     """
-    texts = materialise(texts.filter(F.col("primary_drugs").isNotNull()).select(
-        F.monotonically_increasing_id().alias("tid"), "primary_drugs"), "match-texts")
+    texts = spread(materialise(texts.filter(F.col("primary_drugs").isNotNull()).select(
+        F.monotonically_increasing_id().alias("tid"), "primary_drugs"), "match-texts"))
     named = names.filter(F.col("drug").isNotNull()).select("drug")
+    special = is_special(F.col("drug")) if regex else F.lit(False)
+    plain = named.filter(~special).select(
+        "drug", F.when(F.col("drug") == "", "every").otherwise("runs").alias("kind"),
+        F.array(F.lower("drug")).alias("runs"), F.lit(True).alias("portable"))
     if regex:
-        special = is_special(F.col("drug"))
-        plain = F.struct(F.when(F.col("drug") == "", "every").otherwise("runs").alias("kind"),
-                         F.array(F.lower("drug")).alias("runs"), F.lit(True).alias("portable"))
-        named = named.withColumn("a", F.when(special, _analysed(F.col("drug"))).otherwise(plain))
-    else:
-        named = named.withColumn("a", F.struct(
-            F.when(F.col("drug") == "", "every").otherwise("runs").alias("kind"),
-            F.array(F.lower("drug")).alias("runs"), F.lit(True).alias("portable")))
-    named = materialise(named.select("drug", "a.kind", "a.runs", "a.portable"), "match-names")
-
-    runs = named.filter("kind = 'runs'").select("drug", F.explode("runs").alias("run"))
-    candidates = _candidates(runs, texts).unionByName(
-        _every_text(named.filter("kind = 'scan'").select("drug"), texts)).distinct()
-    fetched = candidates.join(named.select("drug", "portable"), "drug").join(texts, "tid")
+        # Only names with special characters go to Python.
+        analysed = named.filter(special).withColumn("a", _analysed(F.col("drug")))
+        plain = plain.unionByName(analysed.select("drug", "a.kind", "a.runs", "a.portable"))
+    named = materialise(plain, "match-names")
+
+    runs = named.filter("kind = 'runs'").select(
+        "drug", "portable", (F.size("runs") == 1).alias("single"), F.explode("runs").alias("run"))
+    # Pairs are stored, then dealt out by their number: they pack so well that partitions
+    # sized by packed bytes would hold far more of them than a task should sort.
+    candidates = materialise(_candidates(runs, texts).unionByName(
+        _every_text(named.filter("kind = 'scan'").select("drug", "portable"), texts)),
+        "match-candidates")
+    tasks = tasks_for(candidates)
+    fetched = candidates.repartition(tasks, "tid").join(texts.repartition(tasks, "tid"), "tid")
+    literal = F.contains(F.lower("primary_drugs"), F.lower("drug"))
+    checked = fetched.filter(~special & literal)
     if regex:
         jvm = F.expr("primary_drugs rlike concat('(?iUd)', drug)")
-        literal = F.contains(F.lower("primary_drugs"), F.lower("drug"))
-        checked = fetched.filter(~is_special(F.col("drug")) & literal).unionByName(
-            fetched.filter(is_special(F.col("drug")) & F.col("portable") & jvm)).unionByName(
-            fetched.filter(is_special(F.col("drug")) & ~F.col("portable"))
+        checked = fetched.filter(
+            F.when(~special, literal).when(F.col("portable"), jvm).otherwise(False)
+        ).unionByName(
+            candidates.filter(special & ~F.col("portable")).join(texts, "tid")
+            .select(*fetched.columns)
             .filter(_python_found(F.col("drug"), F.col("primary_drugs"))))
-    else:
-        checked = fetched.filter(F.contains(F.lower("primary_drugs"), F.lower("drug")))
     every = _paired_with_all(named.filter("kind = 'every'"), texts)
     return checked.select("drug", "primary_drugs").unionByName(every)
 
 
+def tasks_for(table: DataFrame) -> int:
+    """How many tasks take ``ROWS`` rows of a stored table each; no fewer than cores."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-table.count() // ROWS))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table over as many tasks as its rows need, however small its files are."""
+    return table.repartition(tasks_for(table))
+
+
 def _candidates(runs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(drug, tid) of texts that hold the rarest gram of a run, and its next one if heavy."""
+    """(drug, portable, tid) of texts that hold the rarest gram of a run, and its next one if
+    heavy."""
     size = F.least(F.lit(GRAM), F.length("run"))
-    run_grams = runs.select("drug", "run", F.explode(_grams(F.col("run"), size)).alias("gram"))
-    run_grams = run_grams.withColumn("h", F.xxhash64("gram"))
+    run_grams = runs.select("drug", "portable", "single", "run",
+                            F.explode(_grams(F.col("run"), size)).alias("gram"))
+    run_grams = run_grams.select(*RUN, F.xxhash64("gram").alias("h")).distinct()
     # Texts are indexed by the sizes that runs shorter than a full gram have, too.
     sizes = sorted({r[0] for r in runs.select(size.alias("n")).distinct().collect()})
     lower = F.lower("primary_drugs")
     all_grams = F.concat(*[_grams(lower, F.lit(n)) for n in sizes]) if sizes else F.array()
+    hashes = F.array_distinct(F.transform(all_grams, lambda gram: F.xxhash64(gram)))
     used = run_grams.select("h").distinct()
     postings = materialise(
-        texts.select("tid", F.explode(all_grams).alias("gram"))
-        .select(F.xxhash64("gram").alias("h"), "tid").distinct()
-        .join(used, "h", "left_semi"), "match-postings")
+        texts.select("tid", F.explode(hashes).alias("h")).join(used, "h", "left_semi"),
+        "match-postings")
     frequency = postings.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (run_grams.select("drug", "run", "h").distinct()
-              .join(frequency, "h", "left").fillna(0, ["n"])
-              .groupBy("drug", "run")
+    ranked = (run_grams.join(frequency, "h", "left").fillna(0, ["n"])
+              .groupBy(*RUN)
               .agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "h"))), 1, 2).alias("two")))
     first, second = F.col("two")[0], F.get(F.col("two"), 1)
-    asked = ranked.select("drug", first["h"].alias("h"), first["n"].alias("n"),
+    asked = ranked.select("drug", "portable", "single", first["h"].alias("h"), first["n"].alias("n"),
                           F.when(first["n"] > HEAVY, second["h"]).alias("h2"))
     asked = asked.filter(F.col("n") > 0)
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / SPLIT)).cast("long")
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    salted = postings.join(frequency, "h").withColumn(
-        "salt", F.pmod(F.col("tid"), F.greatest(F.lit(1), F.ceil(F.col("n") / SPLIT)).cast("long")))
-    found = asked.join(salted.select("h", "salt", "tid"), ["h", "salt"]).select("drug", "tid", "h2")
-    alone = found.filter(F.col("h2").isNull()).select("drug", "tid")
+    # Grams that need salts are few, at most one per ``SPLIT`` postings; the others have salt 0.
+    split = F.broadcast(frequency.filter(F.col("n") > SPLIT))
+    salted = postings.join(split, "h", "left").withColumn(
+        "salt", F.pmod(F.col("tid"), F.coalesce(F.ceil(F.col("n") / SPLIT), F.lit(1)).cast("long")))
+    found = asked.drop("n").join(salted.select("h", "salt", "tid"), ["h", "salt"]).drop("h", "salt")
+    alone = found.filter(F.col("h2").isNull()).drop("h2")
     both = (found.filter(F.col("h2").isNotNull())
             .join(postings.withColumnRenamed("h", "h2"), ["h2", "tid"], "left_semi")
-            .select("drug", "tid"))
-    return alone.unionByName(both)
+            .drop("h2"))
+    pairs = alone.unionByName(both)
+    # A text can come once per run, so only names with several runs repeat theirs.
+    kept = ["drug", "portable", "tid"]
+    return pairs.filter("single").select(*kept).unionByName(
+        pairs.filter("not single").select(*kept).distinct())
 
 
 def _every_text(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """(drug, tid) for patterns without a compulsory letter: each to every group of texts.
+    """(drug, portable, tid) for patterns without a compulsory letter: each to all texts.
 
     Groups are joined apart from each other, one per shuffle partition, so neither side has
     to fit into the memory of a task.
     """
     groups = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = names.select("drug", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    copies = names.select("drug", "portable", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     parts = texts.select("tid", F.pmod(F.col("tid"), F.lit(groups)).cast("int").alias("part"))
-    return parts.join(copies, "part").select("drug", "tid")
+    return parts.join(copies, "part").select("drug", "portable", "tid")
 
 
 def _paired_with_all(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Every text with each of ``names``: these names match everywhere."""
-    return _every_text(names.select("drug"), texts).join(texts, "tid").select(
+    return _every_text(names.select("drug", "portable"), texts).join(texts, "tid").select(
         "drug", "primary_drugs")

@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from phasewise.operators import match
 from phasewise.operators.match import invalid_names, match_drugs
 
 
@@ -89,3 +91,26 @@ def test_pattern_analysis():
     assert analyse(r"\bq*")[0] == "scan"
     assert analyse("bad(")[0] == "invalid"
     assert analyse("a{,3}")[2] is False
+
+
+def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(match, "ROWS", 2)
+    monkeypatch.setattr(match, "SPLIT", 1)
+    monkeypatch.setattr(match, "HEAVY", 1)
+    names = ["drug 1", "drug 12", "drug 2", "(drug|agent) 3", "[0-9]+ mg", r"drug (?P<n>4)"]
+    texts = [f"drug {i}, agent {i + 1}" for i in range(1, 45)] + ["10 mg"]
+    assert matched(spark, names, texts, True) == brute(names, texts, True)
+    assert matched(spark, names, texts, False) == brute(names, texts, False)
+    assert match.tasks_for(spark.range(100)) == 50
+
+
+def test_plain_names_do_not_go_to_python(spark):
+    names = spark.createDataFrame([("Taxol",), ("ab",)], "drug string")
+    texts = spark.createDataFrame([("taxol, ab",)], "primary_drugs string")
+    stored = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(match, "materialise", lambda df, name="": stored.append(df) or df)
+        match.match_drugs(names, texts)
+    named = next(df for df in stored if "portable" in df.columns and "tid" not in df.columns)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Union" in plan

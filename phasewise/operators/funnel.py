@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phasewise.functions.dates import date_text, parse_date
 from phasewise.operators.expand import drug_token_counts
-from phasewise.operators.match import invalid_names, match_drugs
+from phasewise.operators.match import invalid_names, match_drugs, tasks_for
 from phasewise.session import materialise
 
 # Flag -> the two phases a drug must both have trials in.
@@ -107,9 +107,11 @@ def drug_funnel(trials: DataFrame, regex: bool = True) -> DataFrame:
         F.sum("trials").alias("num_of_trials")
     )
     texts = cells.select("primary_drugs").distinct()
-    pairs = match_drugs(counts.select("drug"), texts, regex)
+    pairs = materialise(match_drugs(counts.select("drug"), texts, regex), "funnel-pairs")
+    tasks = tasks_for(pairs)
     # Down to a row per drug, phase and day before anything is gathered per drug.
-    rows = pairs.join(cells, "primary_drugs").select(
+    rows = pairs.repartition(tasks, "primary_drugs").join(
+        cells.repartition(tasks, "primary_drugs"), "primary_drugs").select(
         "drug", "phase_of_trial", "trial_start"
     ).distinct()
     per_drug = rows.groupBy("drug").agg(*_success_flags(), *_time_parts())

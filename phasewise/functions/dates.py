@@ -17,6 +17,8 @@ _DATE = (
     r"(?Us)^\s*(?:(\d{1,2})\s*(\p{L}+)\s*(\d{4}|\d{2})|(?:(\p{L}+)\s*)?(\d{4})"
     r"|(\p{L}+)\s*(\d{1,2})\s+(\d{4})|(\d{4})\s*(\p{L}+))\s*(?:[^\s\w].*|$)"
 )
+# The usual cell, day, month name and year with one blank between, needs no such pattern.
+_PLAIN_DATE = r"(?s)^[0-9]{1,2} [A-Za-z]+ [0-9]{4}(?: *[-(/,;.].*)?\z"
 # A sign that no cell holds stands before every group of a match.
 _MARK = "\x01"
 _GROUPS = _MARK + _MARK.join(f"${i}" for i in range(1, 11))
@@ -43,6 +45,13 @@ def parse_date(cell: Column) -> Column:
     def extract(text: Column) -> Column:
         return F.split(F.regexp_replace(text, _DATE, _GROUPS), _MARK)
 
+    def iso(day: Column, name: Column, year: Column) -> Column:
+        month = F.when(name == "", F.lit(1)).otherwise(
+            F.try_element_at(month_numbers, F.lower(name)))
+        text = F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"),
+                        F.when(day == "", "1").otherwise(day))
+        return text.try_cast("date")
+
     def assemble(parts: Column) -> Column:
         def first(*groups: int) -> Column:
             return F.concat(*[F.get(parts, i) for i in groups])
@@ -51,15 +60,16 @@ def parse_date(cell: Column) -> Column:
         day, name, year = first(1, 7), first(2, 4, 6, 10), first(3, 5, 8, 9)
         year = F.when(F.length(year) == 2, F.concat(F.when(year <= "68", "20").otherwise("19"), year)
                       ).otherwise(year)
-        month = F.when(name == "", F.lit(1)).otherwise(
-            F.try_element_at(month_numbers, F.lower(name)))
-        iso = F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"),
-                       F.when(day == "", "1").otherwise(day))
-        return F.when(F.size(parts) == 11, iso.try_cast("date"))
+        return F.when(F.size(parts) == 11, iso(day, name, year))
+
+    def assemble_plain(words: Column) -> Column:
+        return iso(F.get(words, 0), F.get(words, 1), F.substring(F.get(words, 2), 1, 4))
 
     # One-element arrays, so that the cell and its parts are worked out once each, however
     # often they are used.
-    return F.get(F.transform(F.transform(F.array(cell), extract), assemble), 0)
+    plain = F.get(F.transform(F.array(F.split(cell, " ", 3)), assemble_plain), 0)
+    other = F.get(F.transform(F.transform(F.array(cell), extract), assemble), 0)
+    return F.when(F.rlike(cell, F.lit(_PLAIN_DATE)), plain).otherwise(other)
 
 
 def settled_date(cell: Column) -> Column:

@@ -41,6 +41,18 @@ def test_dates(spark):
     assert got == [d for _, d in cases]
 
 
+def test_usual_dates_do_without_the_long_pattern(spark):
+    plain = {"12 Jan 2015": "2015-01-12", "1 february 2015 - first": "2015-02-01",
+             "31 Feb 2015": None, "12 Foo 2015": None, "12 Jan 2015 (planned)": "2015-01-12"}
+    other = {"12 Jan 20155": None, "12 Jan 2015x": None, "12  Jan 2015": "2015-01-12",
+             "12Jan15": "2015-01-12", "12 Jan 2015\n": "2015-01-12", None: None}
+    cells = spark.createDataFrame([(c,) for c in [*plain, *other]], "c string")
+    found = cells.select("c", dates.parse_date(F.col("c")).cast("string").alias("d"),
+                         F.rlike("c", F.lit(dates._PLAIN_DATE)).alias("plain")).collect()
+    assert {r.c: r.d for r in found} == plain | other
+    assert {r.c for r in found if r.plain} == set(plain)
+
+
 def test_settled_date_ignores_planned(spark):
     rows = [("12 Jan 2015 (planned)",), ("12 Jan 2015 (Planned)",), ("2015",)]
     got = values(spark, rows, "c string", dates.settled_date(F.col("c")))

@@ -6,12 +6,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.constants import FOLDS
+from phasewise.models import logistic_search
 from phasewise.models.estimators import CLASSIFIERS, REGRESSORS
 from phasewise.operators import metrics, prepare
 from phasewise.session import materialise
@@ -83,7 +85,7 @@ def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
     # Penalties follow the number of rows fitted on, that of the fold in the search.
     candidate = build(train.count())
     if point is None:
-        means = _search(train, build, bool(TASKS[task]), folds, parallelism)
+        means = _search(train, build, TASKS[task], folds, parallelism)
         best = max(range(len(means)), key=means.__getitem__)
         chosen, cv_score = candidate.grid[best], means[best]
     else:
@@ -97,32 +99,55 @@ def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
     )
 
 
-def _search(train: DataFrame, build, classify: bool, folds: int, parallelism: int) -> list[float]:
-    """Mean score of each grid point over the folds; features are prepared once per fold."""
-    if classify:
-        evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
-    else:
-        evaluator = RegressionEvaluator(metricName="r2")
-    scores = []
-    for fold in range(folds):
+def _search(train: DataFrame, build, classes: int, folds: int, parallelism: int) -> list[float]:
+    """Mean score of each grid point over the folds; features are prepared once per fold.
+
+    Logistic regressions are searched all at once, see ``logistic_search``. A grid of one point
+    reads a fold's rows too seldom to store them.
+    """
+    candidate = build(1)
+    if isinstance(candidate.searched, LogisticRegression):
+        return logistic_search.search(train, build, folds, classes)
+    single = len(candidate.grid) == 1
+    sizes = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+             .collect()}
+
+    def of_fold(fold: int) -> list[float]:
         rest = train.filter(F.col("fold") != fold)
-        candidate = build(rest.count())
+        candidate = build(sum(sizes.values()) - sizes.get(fold, 0))
         preparation = candidate.preparation.fit(rest)
         kept = ["features", "label", "weight"]
-        fitted_on = preparation.transform(rest).select(*kept).persist()
-        held = preparation.transform(train.filter(F.col("fold") == fold)).select(*kept).persist()
+        fitted_on = preparation.transform(rest).select(*kept)
+        held = preparation.transform(train.filter(F.col("fold") == fold)).select(*kept)
+        if single:
+            return [_held_score(candidate.estimator.fit(fitted_on, candidate.grid[0]), held, classes)]
+        fitted_on, held = fitted_on.persist(), held.persist()
 
         def one(chosen: dict) -> float:
-            model = candidate.estimator.fit(fitted_on, chosen)
-            return evaluator.evaluate(model.transform(held))
+            return _held_score(candidate.estimator.fit(fitted_on, chosen), held, classes)
 
         with ThreadPoolExecutor(parallelism) as pool:
-            scores.append(list(pool.map(one, candidate.grid)))
+            found = list(pool.map(one, candidate.grid))
         fitted_on.unpersist()
         held.unpersist()
+        return found
+
+    with ThreadPoolExecutor(parallelism if single else 1) as pool:
+        scores = list(pool.map(of_fold, range(folds)))
     return [sum(column) / folds for column in zip(*scores)]
 
 
+def _held_score(model, held: DataFrame, classes: int) -> float:
+    """Accuracy of a classifier, R2 of a regression, on rows it was not fitted on."""
+    predicted = model.transform(held)
+    if classes:
+        # No rows have no accuracy.
+        return predicted.agg(
+            F.coalesce(F.try_divide(F.count_if(F.col("label") == F.col("prediction")),
+                                    F.count(F.lit(1))), F.lit(float("nan")))).first()[0]
+    return RegressionEvaluator(metricName="r2").evaluate(predicted)
+
+
 def predict(fitted: Fitted, rows: DataFrame | None = None) -> DataFrame:
     """Predictions with one probability per class; regressions have none.
 

@@ -87,7 +87,9 @@ def _candidate(features, rows, scale, estimator: Estimator, choices: dict, max_p
                classes: int = 2, weighted: bool = False) -> Candidate:
     last = estimator
     if classes > 2:
-        last = OneVsRest(classifier=estimator, labelCol="label", featuresCol="features")
+        # One model's passes are many and short; the classes' fits fill each other's gaps.
+        last = OneVsRest(classifier=estimator, labelCol="label", featuresCol="features",
+                         parallelism=classes)
         if weighted:
             last = last.setWeightCol("weight")
     grid = sample_grid(choices, max_points)

@@ -8,7 +8,10 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from phasewise.models import logistic_search, training
-from phasewise.models.estimators import logistic_regression
+from phasewise.models.estimators import (
+    boosted_trees,
+    logistic_regression,
+)
 
 FOLDS = 3
 NAMES = ["a", "b", "c", "d"]
@@ -34,6 +37,10 @@ def ternary(i, a, b):
     return (a + 3 * math.sin(i * i) > 1) + (b + 90 * math.cos(i * i) > 60)
 
 
+def exact(estimator):
+    return {estimator.tol: 1e-10} if estimator.hasParam("tol") else {}
+
+
 def single_fits(train, build):
     evaluator, scores = MulticlassClassificationEvaluator(metricName="accuracy"), []
     for fold in range(FOLDS):
@@ -41,7 +48,7 @@ def single_fits(train, build):
         candidate = build(rest.count())
         preparation = candidate.preparation.fit(rest)
         scores.append([evaluator.evaluate(
-            candidate.estimator.fit(preparation.transform(rest), {candidate.searched.tol: 1e-10, **p})
+            candidate.estimator.fit(preparation.transform(rest), {**exact(candidate.searched), **p})
             .transform(preparation.transform(held))) for p in candidate.grid])
     return [sum(column) / FOLDS for column in zip(*scores)]
 
@@ -83,3 +90,8 @@ def test_a_search_fits_mllib_models_once(spark, monkeypatch):
     monkeypatch.setattr(LogisticRegression, "_fit", counting)
     fitted = training.fit(rows_of(spark, binary), "pass", "logistic_regression", FOLDS, 4)
     assert len(calls) == 1 and 0.5 < fitted.cv_score <= 1
+
+
+def test_classes_are_fitted_side_by_side():
+    for build in (logistic_regression, boosted_trees):
+        assert build(NAMES, 10, 3).estimator.getParallelism() == 3

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phasewise.models import logistic_search, training
 from phasewise.models.estimators import (
     boosted_trees,
+    gaussian_naive_bayes,
     logistic_regression,
 )
 
@@ -95,3 +96,16 @@ def test_a_search_fits_mllib_models_once(spark, monkeypatch):
 def test_classes_are_fitted_side_by_side():
     for build in (logistic_regression, boosted_trees):
         assert build(NAMES, 10, 3).estimator.getParallelism() == 3
+
+
+def test_a_grid_of_one_point_stores_no_fold(spark, monkeypatch):
+    train = rows_of(spark, binary).filter("split = 'train'").localCheckpoint()
+
+    def build(rows):
+        return gaussian_naive_bayes(NAMES, rows, 2)
+
+    expected = single_fits(train, build)
+    stored = []
+    monkeypatch.setattr(type(train), "persist", lambda self, *a: stored.append(1) or self)
+    assert training._search(train, build, 2, FOLDS, 4) == pytest.approx(expected, abs=1e-12)
+    assert not stored

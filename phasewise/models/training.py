@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasewise.constants import FOLDS
-from phasewise.models import logistic_search
+from phasewise.models import bayes_search, logistic_search
 from phasewise.models.estimators import CLASSIFIERS, REGRESSORS
 from phasewise.operators import metrics, prepare
 from phasewise.session import materialise
@@ -102,12 +102,15 @@ def fit(data: DataFrame, task: str, model_type: str, folds: int = FOLDS,
 def _search(train: DataFrame, build, classes: int, folds: int, parallelism: int) -> list[float]:
     """Mean score of each grid point over the folds; features are prepared once per fold.
 
-    Logistic regressions are searched all at once, see ``logistic_search``. A grid of one point
-    reads a fold's rows too seldom to store them.
+    Logistic regressions are searched all at once, see ``logistic_search``, and so are the folds
+    of naive Bayes, see ``bayes_search``. A grid of one point reads a fold's rows too seldom to
+    store them.
     """
     candidate = build(1)
     if isinstance(candidate.searched, LogisticRegression):
         return logistic_search.search(train, build, folds, classes)
+    if bayes_search.applies(candidate):
+        return bayes_search.search(train, candidate, folds)
     single = len(candidate.grid) == 1
     sizes = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
              .collect()}

@@ -17,8 +17,8 @@ _DATE = (
     r"(?Us)^\s*(?:(\d{1,2})\s*(\p{L}+)\s*(\d{4}|\d{2})|(?:(\p{L}+)\s*)?(\d{4})"
     r"|(\p{L}+)\s*(\d{1,2})\s+(\d{4})|(\d{4})\s*(\p{L}+))\s*(?:[^\s\w].*|$)"
 )
-# The usual cell, day, month name and year with one blank between, needs no such pattern.
-_PLAIN_DATE = r"(?s)^[0-9]{1,2} [A-Za-z]+ [0-9]{4}(?: *[-(/,;.].*)?\z"
+# The usual cell, [[day] month name] year with one blank between, needs no such pattern.
+_PLAIN_DATE = r"(?s)^(?:(?:[0-9]{1,2} )?[A-Za-z]+ )?[0-9]{4}(?: *[-(/,;.].*)?\z"
 # A sign that no cell holds stands before every group of a match.
 _MARK = "\x01"
 _GROUPS = _MARK + _MARK.join(f"${i}" for i in range(1, 11))
@@ -63,7 +63,16 @@ def parse_date(cell: Column) -> Column:
         return F.when(F.size(parts) == 11, iso(day, name, year))
 
     def assemble_plain(words: Column) -> Column:
-        return iso(F.get(words, 0), F.get(words, 1), F.substring(F.get(words, 2), 1, 4))
+        def year(word: int) -> Column:
+            return F.substring(F.get(words, word), 1, 4)
+
+        # The first word is a month name, a year with what follows, or a day of two digits.
+        first, none = F.get(words, 0), F.lit("")
+        return (
+            F.when(first >= "A", iso(none, first, year(1)))
+            .when(F.length(first) >= 4, iso(none, none, year(0)))
+            .otherwise(iso(first, F.get(words, 1), year(2)))
+        )
 
     # One-element arrays, so that the cell and its parts are worked out once each, however
     # often they are used.

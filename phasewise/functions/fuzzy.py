@@ -45,12 +45,17 @@ def ratio(left: Column, right: Column) -> Column:
     )
 
 
+def _known_letters(text: Column, other: Column) -> Column:
+    """How many letters of a string, repeats included, occur in the other one."""
+    return F.length(text) - F.length(F.call_function("translate", text, other, F.lit("")))
+
+
 def is_similar(left: Column, right: Column, threshold: int = FUZZY_THRESHOLD) -> Column:
     """Whether ``ratio`` exceeds the threshold, cheapest tests first.
 
     With edit distance d, d insertions and deletions are needed at least and 2d at most,
-    and no common subsequence is longer than the shorter string; only pairs that these
-    bounds leave open are compared letter by letter.
+    no common subsequence is longer than the shorter string, and it only has letters that
+    occur in both; only pairs that these bounds leave open are compared letter by letter.
     """
     # A ratio rounds to more than t from t + 0.5 on; the tie goes to the even number.
     floor_share = F.lit((threshold + 0.5) / 100.0)
@@ -61,6 +66,7 @@ def is_similar(left: Column, right: Column, threshold: int = FUZZY_THRESHOLD) ->
     total = F.length(left) + F.length(right)
     at_best = F.least(F.length(left), F.length(right)) * F.lit(2.0) / total
     distance = F.levenshtein(left, right)
+    shared = F.least(_known_letters(left, right), _known_letters(right, left))
     sure_share = F.lit(1.0) - distance * F.lit(2.0) / total
     best_share = F.lit(1.0) - distance / total
     exact_share = common_subsequence_length(left, right) * F.lit(2.0) / total
@@ -70,6 +76,7 @@ def is_similar(left: Column, right: Column, threshold: int = FUZZY_THRESHOLD) ->
         .when(~beats(at_best), F.lit(False))
         .when(sure_share > floor_share + F.lit(1e-9), F.lit(True))
         .when(best_share < floor_share - F.lit(1e-9), F.lit(False))
+        .when(~beats(shared * F.lit(2.0) / total), F.lit(False))
         .otherwise(beats(exact_share))
     )
 

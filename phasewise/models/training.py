@@ -49,12 +49,15 @@ def model_builder(task: str, model_type: str):
     return known[model_type]
 
 
-def model_input(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True) -> DataFrame:
+def model_input(matrix: DataFrame, folds: int = FOLDS, stratified: bool = True,
+                stored: bool = False) -> DataFrame:
     """The matrix with split, fold and class weight, written for all later passes.
 
-    Folds and weights are those of the training rows; test rows carry neutral values.
+    Folds and weights are those of the training rows; test rows carry neutral values. The
+    matrix itself is read several times and written first, unless it only picks columns of a
+    stored table.
     """
-    split = prepare.with_split(materialise(matrix, "matrix"))
+    split = prepare.with_split(matrix if stored else materialise(matrix, "matrix"))
     train = split.filter("split = 'train'")
     train = prepare.with_folds(train, folds, stratified)
     if stratified:

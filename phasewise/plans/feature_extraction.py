@@ -73,7 +73,12 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
         designs = ops.distinct_strings(
             prepared.select(F.explode("designs").alias("design")), "design"
         )
-    rows = explode_drugs(prepared)
+    # Counted once per trial: the rows repeated per drug carry numbers instead of lists.
+    rows = explode_drugs(prepared.select(
+        "*",
+        F.array_size("designs").alias("design_rows"),
+        *[text.occurrences(F.col("designs"), d).alias(f"design {d}") for d in designs],
+    ).drop("designs"))
     positive = F.when(F.col("time_diff") > 0, F.col("time_diff"))
     by_drug_and_phase = rows.groupBy("drug", "phase").agg(
         F.count(F.lit(1)).alias("n"),
@@ -84,10 +89,9 @@ def feature_table(trials: DataFrame, statuses: list[str] | None = None,
         F.max("organisations").alias("organisations"),
         F.count("status").alias("status_rows"),
         *[F.count_if(F.col("status") == s).alias(f"status {s}") for s in statuses],
-        F.coalesce(F.sum(F.array_size("designs")), F.lit(0)).alias("design_rows"),
+        F.coalesce(F.sum("design_rows"), F.lit(0)).alias("design_rows"),
         *[
-            F.coalesce(F.sum(text.occurrences(F.col("designs"), d)), F.lit(0))
-            .alias(f"design {d}")
+            F.coalesce(F.sum(ops.quoted(f"design {d}")), F.lit(0)).alias(f"design {d}")
             for d in designs
         ],
     )

@@ -38,7 +38,7 @@ def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
                 continue
             if data is None:
                 matrix = MATRICES[task](read_phase_table(spark, phase_path, phase))
-                data = model_input(matrix, folds, stratified=task != "length")
+                data = model_input(matrix, folds, stratified=task != "length", stored=True)
             fitted = fit(data, task, model_type, folds, max_points, parallelism)
             scores = log_rows(fitted).withColumns({
                 "phase": F.lit(phase),

@@ -84,3 +84,17 @@ def test_folds_are_fitted_together(spark, model_type, monkeypatch):
     monkeypatch.setattr(NaiveBayes, "_fit", counting)
     fitted = training.fit(rows_of(spark, binary), "pass", model_type, FOLDS)
     assert len(calls) == 1 and 0.5 < fitted.cv_score <= 1
+
+
+def test_a_stored_matrix_is_not_written_again(spark, monkeypatch):
+    matrix = rows_of(spark, binary).drop("split", "fold", "weight").localCheckpoint()
+    real, written = training.materialise, []
+
+    def counting(df, name="table"):
+        written.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(training, "materialise", counting)
+    stored = training.model_input(matrix, FOLDS, stored=True)
+    assert written == ["model-input"]
+    assert sorted(stored.collect()) == sorted(training.model_input(matrix, FOLDS).collect())

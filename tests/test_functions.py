@@ -53,6 +53,27 @@ def test_usual_dates_do_without_the_long_pattern(spark):
     assert {r.c for r in found if r.plain} == set(plain)
 
 
+def test_dates_without_a_day_do_without_the_long_pattern(spark):
+    plain = {"Jan 2015": "2015-01-01", "january 2015 - first": "2015-01-01", "2015": "2015-01-01",
+             "2015-03-09": "2015-01-01", "2015 - first": "2015-01-01", "Foo 2015": None,
+             "Sept 2014.5": "2014-09-01", "2015,": "2015-01-01", "0000": None}
+    other = {"2015 ": "2015-01-01", "Jan2015": "2015-01-01", " 2015": "2015-01-01",
+             "2015 Jan": "2015-01-01", "20155": None, "Jan 2015\n": "2015-01-01", "- 2015": None}
+    cells = spark.createDataFrame([(c,) for c in [*plain, *other]], "c string")
+    found = cells.select("c", dates.parse_date(F.col("c")).cast("string").alias("d"),
+                         F.rlike("c", F.lit(dates._PLAIN_DATE)).alias("plain")).collect()
+    assert {r.c: r.plain for r in found} == {**dict.fromkeys(plain, True),
+                                             **dict.fromkeys(other, False)}
+    long = spark.createDataFrame([(c,) for c in plain], "c string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dates, "_PLAIN_DATE", "(?!)")
+        by_long = {r.c: r.d for r in long.select(
+            "c", dates.parse_date(F.col("c")).cast("string").alias("d")).collect()}
+    got = {r.c: r.d for r in found}
+    assert {c: got[c] for c in plain} == by_long
+    assert got == {**by_long, **other} and by_long["Jan 2015"] == plain["Jan 2015"]
+
+
 def test_settled_date_ignores_planned(spark):
     rows = [("12 Jan 2015 (planned)",), ("12 Jan 2015 (Planned)",), ("2015",)]
     got = values(spark, rows, "c string", dates.settled_date(F.col("c")))
@@ -148,6 +169,14 @@ def test_ratio_and_similarity_match_brute_force(spark, pairs):
             assert similar == (expected_ratio(a, b) > threshold)
 
 
+def test_letters_that_only_one_name_has_settle_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "common_subsequence_length",
+                        lambda left, right: F.lit(None).cast("int"))
+    pairs = [("large ring", "cold plate"), ("aab", "bcd"), ("a\U0001d4b3b", "cd\U0001d4b3")]
+    got = values(spark, pairs, "a string, b string", fuzzy.is_similar(F.col("a"), F.col("b")))
+    assert got == [False, False, False]
+
+
 def brute_dedupe(cell):
     if cell is None:
         return []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,17 +21,18 @@ def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
     The whole grid is searched unless ``max_points`` asks for a sample; the number of points
     a sample leaves out stands next to the scores. Odds of logistic models are metrics, too.
 
-    The model input of a phase is prepared once for all models. With a score path, each
-    unit of work (task, phase, model, folds and sample) is written to the log as its own
-    folder as soon as it is known, and a unit that the log already holds is read instead of
+    The model input of a phase is prepared once for all models, and up to ``parallelism`` phases
+    are worked on at once: most of their jobs are too short to fill a cluster. With a score
+    path, each unit of work (task, phase, model, folds and sample) is written to the log as its
+    own folder as soon as it is known, and a unit that the log already holds is read instead of
     fitted again: a sweep that was stopped resumes where it stood, and a unit that was tried
     twice is in the log once.
     """
     for model_type in models:
         model_builder(task, model_type)
-    results = []
-    for phase in phases:
-        data = None
+
+    def of_phase(phase: str) -> list[DataFrame]:
+        data, results = None, []
         for model_type in models:
             unit = f"{task}|{phase}|{model_type}|folds={folds}|points={max_points}"
             done = logged_unit(spark, score_path, unit) if score_path else None
@@ -48,7 +51,11 @@ def sweep(spark: SparkSession, phase_path: str, task: str, models: list[str],
             if score_path is not None:
                 write_unit(scores.withColumn("scored_at", F.current_timestamp()), score_path, unit)
             results.append(scores)
-    return union_all(results)
+        return results
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(of_phase, phases))
+    return union_all([scores for results in found for scores in results])
 
 
 def pass_sweep(spark: SparkSession, phase_path: str,

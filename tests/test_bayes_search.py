@@ -1,6 +1,7 @@
 """The joint search of naive Bayes over the folds against one MLlib fit per fold."""
 
 import math
+import threading
 
 import pytest
 from pyspark.ml.classification import NaiveBayes
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from phasewise.models import training
 from phasewise.models.estimators import gaussian_naive_bayes, multinomial_naive_bayes
+from phasewise.plans import sweeps
 
 FOLDS = 3
 # A name with a blank, as columns of wide tables have.
@@ -98,3 +100,27 @@ def test_a_stored_matrix_is_not_written_again(spark, monkeypatch):
     stored = training.model_input(matrix, FOLDS, stored=True)
     assert written == ["model-input"]
     assert sorted(stored.collect()) == sorted(training.model_input(matrix, FOLDS).collect())
+
+
+def test_phases_are_swept_side_by_side(spark, monkeypatch):
+    # Each phase waits for the other one; one after the other would break the barrier.
+    both = threading.Barrier(2)
+
+    def waiting(data, task, model_type, *args):
+        both.wait(timeout=60)
+        return data
+
+    monkeypatch.setattr(sweeps, "read_phase_table", lambda spark, path, phase: phase)
+    monkeypatch.setitem(sweeps.MATRICES, "pass", lambda phase: phase)
+    monkeypatch.setattr(sweeps, "model_input", lambda matrix, *args, **options: Named(matrix))
+    monkeypatch.setattr(sweeps, "fit", waiting)
+    monkeypatch.setattr(sweeps, "log_rows", lambda fitted: spark.range(1))
+    found = sweeps.pass_sweep(spark, "", ("gaussian_naive_bayes",), phases=["Phase II", "Phase I"])
+    assert [r["phase"] for r in found.collect()] == ["Phase II", "Phase I"]
+
+
+class Named:
+    best, left_out = {}, 0
+
+    def __init__(self, phase):
+        self.phase = phase
